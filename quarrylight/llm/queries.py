@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrylight.llm import packing, tokens
+from quarrylight.llm import garbled, packing, tokens
 from quarrylight.session import table
 
 
@@ -11,6 +11,8 @@ def queries() -> dict:
     return {
         "p6_ids": lambda s, d: tokens.encode(t(s, d, "documents")),
         "p7_packed": lambda s, d: packing.pack_documents(t(s, d, "documents"), t(s, d, "pack_limits")),
+        "p8_found": lambda s, d: garbled.affected(t(s, d, "documents")),
+        "p8_restored": lambda s, d: garbled.affected(t(s, d, "documents"), restore=True),
         "p7_report": lambda s, d: packing.report(packing.pack_documents(t(s, d, "documents"), t(s, d, "pack_limits"))),
     }
 
