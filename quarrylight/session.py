@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,8 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 200_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once; Spark copies it to every executor."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrylight_shipped", False):
+        return
+    package = Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="quarrylight"), "quarrylight.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._quarrylight_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
