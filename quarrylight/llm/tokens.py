@@ -302,9 +302,14 @@ def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, tokens int")
 
 
-def decode(ids: list[int], tokenizer: str = "byte_bpe_50k", where: str = TOKENIZERS) -> str:
-    """The text of a list of ids."""
+def decode_bytes(ids: list[int], tokenizer: str = "byte_bpe_50k", where: str = TOKENIZERS) -> bytes:
+    """The bytes of a list of ids."""
     enc = encoder(tokenizer, where)
     if not hasattr(enc, "pieces"):
         enc.pieces = {i: b for b, i in enc.ranks.items()}
-    return b"".join(enc.pieces[i] for i in ids).decode("utf-8", "surrogatepass")
+    return b"".join(enc.pieces[i] for i in ids)
+
+
+def decode(ids: list[int], tokenizer: str = "byte_bpe_50k", where: str = TOKENIZERS) -> str:
+    """The text of a list of ids."""
+    return decode_bytes(ids, tokenizer, where).decode("utf-8", "surrogatepass")
