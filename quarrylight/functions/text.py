@@ -90,15 +90,19 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def simhash(sh: Column) -> Column:
     """A 64-bit fingerprint of a set of shingles, as 16 hex digits: each bit is the majority of the members' hashes."""
-    halves = []
-    for start in (1, 9):
-        h = F.transform(sh, lambda s, start=start: F.conv(F.substring(F.sha1(s), start, 8), 16, 10).cast("bigint"))
-        bits = [F.when(F.aggregate(h, F.lit(0), lambda a, x, k=k: a + F.when(F.shiftright(x, k).bitwiseAND(1) == 1, 1).otherwise(-1)) > 0, 1 << k).otherwise(0).cast("bigint") for k in range(32)]
-        total = bits[0]
-        for b in bits[1:]:
-            total = total + b
-        halves.append(F.lpad(F.lower(F.hex(total)), 8, "0"))
-    return F.concat(*halves)
+    def half(start: int) -> Column:
+        h = F.transform(sh, lambda x: F.conv(F.substring(F.sha1(x), start, 8), 16, 10).cast("bigint"))
+
+        def bit(k: int) -> Column:
+            votes = F.aggregate(h, F.lit(0), lambda a, x: a + F.when(F.shiftright(x, k).bitwiseAND(1) == 1, 1).otherwise(-1))
+            return F.when(votes > 0, F.lit(1 << k)).otherwise(0).cast("bigint")
+
+        total = bit(0)
+        for k in range(1, 32):
+            total = total + bit(k)
+        return F.lpad(F.lower(F.hex(total)), 8, "0")
+
+    return F.concat(half(1), half(9))
 
 
 def entropy(c: Column) -> Column:
@@ -225,8 +229,11 @@ def redact(c: Column) -> Column:
 
 def leaks(c: Column) -> Column:
     """array<struct<kind, value>> of what ``redact`` would replace."""
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k, p, _ in REDACT]
-    return F.when(c.isNotNull(), F.concat(*found))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.when(c.isNotNull(), F.concat(*[of(k, p) for k, p, _ in REDACT]))
 
 
 def html_text(c: Column) -> Column:
