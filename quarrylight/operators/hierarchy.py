@@ -146,3 +146,38 @@ def tree(items: DataFrame) -> DataFrame:
         F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"),
         F.when(F.col("on_circle"), "circle").when(tied, "below circle").otherwise("tree").alias("state"),
     )
+
+
+def depths(links: DataFrame, nodes: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """u, depth of every node that reaches no circle: the length of its longest way down. nodes has the column u.
+
+    Nodes leave level by level with what they depend on; each round reads only the links that are left.
+    """
+    left = materialise(links.select("u", "v").where("u != v").distinct(), "links")
+    selves = links.where("u = v").select("u").distinct()
+    todo = materialise(nodes.select("u").distinct().join(selves, "u", "left_anti"), "nodes")
+    done = []
+    for k in range(max_rounds):
+        held = left.select("u").distinct()
+        ready = materialise(todo.join(held, "u", "left_anti"), f"level{k}")
+        if not ready.take(1):
+            break
+        done.append(ready.withColumn("depth", F.lit(k)))
+        todo = materialise(todo.join(ready, "u", "left_anti"), f"todo{k}")
+        left = materialise(left.join(ready.withColumnRenamed("u", "v"), "v", "left_anti"), f"left{k}")
+    if not done:
+        return nodes.sparkSession.createDataFrame([], "u string, depth int")
+    return reduce(DataFrame.unionByName, done)
+
+
+def levels(items: DataFrame, link: str = "depends_on") -> DataFrame:
+    """depth, items: how many items stand at each depth of their dependencies; items that reach a circle have none."""
+    nodes = items.where("trim(item_id) != ''").groupBy(F.lower(F.trim("item_id")).alias("k")).agg(F.max("item_id").alias("u"))
+    return depths(links_of(items).where(F.col("link") == link), nodes).groupBy("depth").agg(F.count("*").alias("items"))
+
+
+def causes(items: DataFrame, states: tuple[str, ...] = ("draft", "dropped")) -> DataFrame:
+    """item_id, causes, first_cause: the items in one of the states that each item depends on, near or far."""
+    r = reach(links_of(items).where("link = 'depends_on'"))
+    c = items.where(F.col("status").isin(*states)).select(F.col("item_id").alias("y")).distinct()
+    return r.join(c, "y").select("u", "y").distinct().groupBy(F.col("u").alias("item_id")).agg(F.count("*").alias("causes"), F.min("y").alias("first_cause"))

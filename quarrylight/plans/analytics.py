@@ -169,5 +169,5 @@ def oracle_sql() -> dict[str, str]:
         "nation_revenue": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
         "customers_without_orders": "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)",
         "as_of_order": "select l.l_orderkey, l.l_linenumber, l.l_shipdate as ts, o.o_orderstatus as status from lineitem l left join orders o on o.o_orderkey = l.l_orderkey and o.o_orderdate <= l.l_shipdate",
-        "vector_neighbours": "select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.embedding, b.embedding), 4) as similarity, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding, b.embedding), 4) desc, b.vec_id) as pos from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id qualify pos <= 5",
+        "vector_neighbours": "select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as similarity, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) desc, b.vec_id) as pos from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id qualify pos <= 5",
     }

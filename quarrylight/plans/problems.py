@@ -17,6 +17,8 @@ def queries() -> dict:
         "p2_counts": lambda s, d: _counts(orphans.orphan_state(t(s, d, "work_items"), t(s, d, "run_entries"), t(s, d, "kb_lines"))),
         "p3_found": lambda s, d: hierarchy.found(t(s, d, "work_items")),
         "p3_tree": lambda s, d: hierarchy.tree(t(s, d, "work_items")),
+        "dependency_levels": lambda s, d: hierarchy.levels(t(s, d, "work_items")),
+        "dependency_causes": lambda s, d: hierarchy.causes(t(s, d, "work_items")),
         "p4_found": lambda s, d: drift.changes(t(s, d, "run_headers")),
         "p4_alternatives": lambda s, d: drift.alternatives(t(s, d, "run_headers")),
         "p4_unified": lambda s, d: drift.unified(t(s, d, "run_headers")),
@@ -54,6 +56,14 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _DANGLING + "select src_table, src_id, ref_id, period from found",
         "p2_counts": _DANGLING + "select src_table, period, count(*) as orphans from found group by 1, 2",
         "p3_found": _CLOSURE + "select link, u as item_id, v as reached_id from r",
+        "dependency_causes": _CLOSURE + """, c as (select w.v as item_id from work_items i join w on w.k = lower(trim(i.item_id)) where i.status in ('draft', 'dropped') group by 1),
+b as (select distinct r.u as item_id, r.v as cause from r join c on c.item_id = r.v where link = 'depends_on')
+select item_id, count(*) as causes, min(cause) as first_cause from b group by 1""",
+        "dependency_levels": _CLOSURE + """, circle as (select distinct u from r where link = 'depends_on' and u = v), bad as (select u from circle union select u from r where link = 'depends_on' and v in (select u from circle)),
+d as (select v as item, 0 as depth from w where v not in (select u from bad)
+union select e.u, d.depth + 1 from d join e on e.link = 'depends_on' and e.v = d.item where e.u not in (select u from bad)),
+m as (select item, max(depth) as depth from d group by 1)
+select depth, count(*) as items from m group by 1""",
         "p4_alternatives": """
 with f as (select store, run, max(cast(header as json)) as h from run_headers where json_valid(header) and json_type(header) = 'OBJECT' and store is not null and run is not null group by 1, 2),
 k as (select run, h, unnest(json_keys(h)) as field from f),
