@@ -213,7 +213,7 @@ REDACT = (
     ("unc", r"\\\\[A-Za-z0-9._\-]+\\[^\s\"']+", "<share>"),
     ("drive", r"\b[A-Za-z]:\\(?!<)[^\s\"']+", "<path>"),
     ("home", r"/(?:home|Users)/(?!<)[^/\s]+", "/home/<user>"),
-    ("email", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", "<email>"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9.\-]{1,250}\.[A-Za-z]{2,}", "<email>"),
     ("sid", r"\bS-1-5-[0-9\-]{6,}\b", "<sid>"),
     ("guid", r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<guid>"),
     ("ipv4", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "<ip>"),
