@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as X
+from quarrylight.session import BROADCAST_ROWS, materialise
 
 K1, B = 1.2, 0.75
 SUMMARY_BOOST, UNTAGGED = 1.15, 0.8
@@ -53,10 +54,20 @@ def rank(units: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, unit_id, path, score, hits of every unit that shares a term with a question."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    p = postings(units).select("unit_id", "term", part.alias("part"))
-    s = question_terms(questions).join(p, "term").groupBy("qid", "unit_id").agg(F.sum("part").alias("s"), F.count("*").alias("hits"))
     boost = F.when(F.col("section").startswith("Summary"), SUMMARY_BOOST).otherwise(1.0) * F.when(F.col("tagged"), 1.0).otherwise(UNTAGGED)
-    return s.join(units.select("unit_id", "path", boost.alias("boost")), "unit_id").select("qid", "unit_id", "path", F.round(F.col("s") * F.col("boost"), 6).alias("score"), "hits")
+    p = postings(units).select("unit_id", "term", part.alias("part")).join(units.select("unit_id", "path", boost.alias("boost")), "unit_id")
+    p = materialise(p, "postings")
+    terms = question_terms(questions)
+    if p.count() <= BROADCAST_ROWS:
+        # questions are cut by qid once; neither the sums nor the windows over a question move a row again
+        # (a stated number of parts, as few bytes of questions make many hits)
+        spark = units.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
+        hit = terms.repartition(parts, "qid").join(F.broadcast(p), "term")
+    else:
+        hit = terms.join(p, "term")
+    s = hit.groupBy("qid", "unit_id").agg(F.sum("part").alias("s"), F.count("*").alias("hits"), F.first("path").alias("path"), F.first("boost").alias("boost"))
+    return s.select("qid", "unit_id", "path", F.round(F.col("s") * F.col("boost"), 6).alias("score"), "hits")
 
 
 def _best() -> list[Column]:
