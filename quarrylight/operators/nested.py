@@ -65,13 +65,22 @@ def listed(v: object, label: str, keyed: frozenset[str]) -> list:
     return [v]
 
 
+def comma_list(text: str) -> list[str]:
+    return [x.strip() for x in text.split(",")]
+
+
 @dataclass(frozen=True)
 class Plan:
-    """tables: labels with a relation of their own; keyed: labels whose all-object objects are lists."""
+    """tables: labels with a relation of their own; keyed: labels whose all-object objects are lists.
+
+    split: labels right below a column that may hold their list as comma-separated text; roots: columns whose object is
+    the record itself, also where an element of the column's name has a relation.
+    """
 
     tables: frozenset[str]
     keyed: frozenset[str] = frozenset()
     split: frozenset[str] = frozenset()
+    roots: frozenset[str] = frozenset()
     shallow: bool = False
 
 
@@ -162,8 +171,9 @@ def shred(df: DataFrame, key: str, columns: list[str], plan: Plan, values: bool
         stack = [(rid, "", (), col, v) for col, v in current]
         while stack:
             parent_id, parent, pos, label, v = stack.pop()
-            if label in plan.tables:
-                for i, x in enumerate(listed(v, label, plan.keyed)):
+            if label in plan.tables and not (label in plan.roots and parent == "" and isinstance(v, dict)):
+                top = label in plan.split and parent_id == rid and parent in columns
+                for i, x in enumerate(comma_list(v) if top and isinstance(v, str) else listed(v, label, plan.keyed)):
                     if void(x):
                         continue
                     at = (*pos, i)
@@ -212,35 +222,6 @@ def shred(df: DataFrame, key: str, columns: list[str], plan: Plan, values: bool
     return df.select(F.col(key).cast("string").alias("record_id"), *columns).mapInArrow(run, ROW)
 
 
-def shred_log(df: DataFrame, key: str, column: str, comma: frozenset[str]) -> DataFrame:
-    """record_id, child, pos, subpos, value: the top-level keys of a log record's JSON object, lists opened one level.
-
-    A key named in comma may hold its list as comma-separated text. Nested values are not opened further.
-    """
-    schema = pa.schema([("record_id", pa.string()), ("child", pa.string()), ("pos", pa.int32()), ("subpos", pa.int32()), ("value", pa.string())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list = []
-            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = parsed(text)
-                if not isinstance(v, dict):
-                    continue
-                for k, y in v.items():
-                    y = opened(y)
-                    if isinstance(y, str) and k in comma:
-                        y = y.split(",")
-                    elif isinstance(y, dict) and k == "gates" and y and all(isinstance(opened(x), dict) for x in y.values()):
-                        y = list(y.values())
-                    for i, x in enumerate(y if isinstance(y, list) else [y]):
-                        if not void(x):
-                            out.append((rid, k, i, -1, x.strip() if isinstance(x, str) else json.dumps(x, ensure_ascii=False)))
-            a = list(zip(*out)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(a, schema)], schema=schema)
-
-    return df.select(F.col(key).cast("string").alias("record_id"), column).mapInArrow(run, "record_id string, child string, pos int, subpos int, value string")
-
-
 def latest(df: DataFrame, key: F.Column | str, columns: list[str], order: str) -> DataFrame:
     """One row for each key, its newest delivery; rows without a key are left out. The map side combines first."""
     k = F.col(key) if isinstance(key, str) else key
@@ -264,6 +245,26 @@ def work_relations(items: DataFrame, values: bool = True) -> DataFrame:
     return shred(one, "item_id", WORK_PARTS, plan, values)
 
 
+def log_relations(log: DataFrame, values: bool = True) -> DataFrame:
+    """All relations of the log's fields (ROW), each seq once.
+
+    Every top-level key is a child record with a position, so each has a relation, lists or not; below them the graph
+    decides. Rows of the top level have parent 'fields' and one position.
+    """
+    one = latest(log, "seq", ["seq", "fields"], "loaded_at")
+    edges = [tuple(r) for r in schema_graph(log, ["fields"], GATE_KEYED).collect()]  # bounded by the number of labels
+    top = {c for p, c, _ in edges if p == "fields"}
+    plan = Plan(inline_plan(edges, GATE_KEYED).tables | top, GATE_KEYED, COMMA_KEYS, frozenset({"fields"}))
+    return shred(one, "seq", ["fields"], plan, values)
+
+
+def relations(items: DataFrame, log: DataFrame) -> DataFrame:
+    """p1_tables: the rows of all relations of the work items and the log, named by tbl."""
+    cols = ["relation", "parent", "record_id", "row_id", "parent_id", F.to_json("fields").alias("columns")]
+    work = work_relations(items).select(F.lit("work_items").alias("tbl"), *cols)
+    return work.unionByName(log_relations(log).select(F.lit("coord_log").alias("tbl"), *cols))
+
+
 def child_records(items: DataFrame, log: DataFrame) -> DataFrame:
     """p1_found: tbl, record_id, child, pos, subpos of every child record of the work items and the log."""
     r = work_relations(items, values=False)
@@ -277,6 +278,6 @@ def child_records(items: DataFrame, log: DataFrame) -> DataFrame:
         F.when(F.col("child") == "repro_run", 0).when(nested & (n > 1), F.element_at("pos", 1)).otherwise(F.when(nested, 0).otherwise(last)).cast("int").alias("pos"),
         F.when(nested | (F.col("child") == "repro_run"), last).otherwise(-1).cast("int").alias("subpos"),
     )
-    one = latest(log, "seq", ["seq", "fields"], "loaded_at")
-    events = shred_log(one, "seq", "fields", COMMA_KEYS).select(F.lit("coord_log").alias("tbl"), "record_id", "child", "pos", "subpos")
+    top = log_relations(log, values=False).where("parent = 'fields' and size(pos) = 1 and parent_id = record_id")
+    events = top.select(F.lit("coord_log").alias("tbl"), "record_id", F.col("relation").alias("child"), F.element_at("pos", 1).alias("pos"), F.lit(-1).alias("subpos"))
     return work.unionByName(events)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from quarrylight.operators import drift, hierarchy, nested, orphans
 from quarrylight.session import table
 
@@ -12,7 +10,7 @@ def queries() -> dict:
     t = table
     return {
         "p1_found": lambda s, d: nested.child_records(t(s, d, "work_items"), t(s, d, "coord_log")),
-        "p1_tables": lambda s, d: nested.work_relations(t(s, d, "work_items")).select("relation", "parent", "record_id", "row_id", "parent_id", F.to_json("fields").alias("columns")),
+        "p1_tables": lambda s, d: nested.relations(t(s, d, "work_items"), t(s, d, "coord_log")),
         "p2_found": lambda s, d: orphans.found(t(s, d, "work_items"), t(s, d, "run_entries"), t(s, d, "kb_lines")),
         "p2_counts": lambda s, d: _counts(orphans.orphan_state(t(s, d, "work_items"), t(s, d, "run_entries"), t(s, d, "kb_lines"))),
         "p3_found": lambda s, d: hierarchy.found(t(s, d, "work_items")),

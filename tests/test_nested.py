@@ -54,6 +54,20 @@ def test_log_fields(spark):
     assert [r[1:] for r in got(spark, [], rows)] == want
 
 
+def test_log_goes_through_the_relations(spark):
+    f = {"item": "a, b", "gates": [{"id": "g", "options": ["y", {"label": "n"}]}], "step": {"no": 3, "at": {"host": "h"}, "tries": [{"exit": 1}, {"exit": 0}]}, "fields": {"item": "c,d"}}
+    lg = log(spark, [(7, json.dumps(f)), (8, json.dumps([{"item": "x,y"}])), (9, "torn {")])
+    rows = {r.row_id: r for r in nested.relations(items(spark, []), lg).collect()}
+    assert {r.tbl for r in rows.values()} == {"coord_log"}
+    assert json.loads(rows["7/step:0"].columns) == {"no": "3", "at.host": "h"}
+    tries = [rows[f"7/step:0/tries:{i}"] for i in (0, 1)]
+    assert [(r.parent, r.parent_id, json.loads(r.columns)) for r in tries] == [("step", "7/step:0", {"exit": "1"}), ("step", "7/step:0", {"exit": "0"})]
+    assert rows["7/gates:0/options:1"].parent_id == "7/gates:0" and json.loads(rows["7/gates:0/options:1"].columns) == {"label": "n"}
+    assert [json.loads(rows[f"7/item:{i}"].columns)["value"] for i in (0, 1)] == ["a", "b"]
+    assert json.loads(rows["7/fields:0/item:0"].columns) == {"value": "c,d"} and json.loads(rows["9/fields:0"].columns) == {"value": "torn {"}
+    assert [r[1:] for r in sorted(tuple(r) for r in nested.child_records(items(spark, []), lg).collect())] == [("7", "fields", 0, -1), ("7", "gates", 0, -1), ("7", "item", 0, -1), ("7", "item", 1, -1), ("7", "step", 0, -1)]
+
+
 def test_repeated_deliveries_and_ids(spark):
     rows = [("A ", json.dumps([{"run": ["x"]}]), None, None), ("a", json.dumps([{"run": ["x"]}]), None, None), (None, json.dumps([{"run": ["x"]}]), None, None)]
     assert len(got(spark, rows)) == 2
