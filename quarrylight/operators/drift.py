@@ -5,8 +5,9 @@ range-partitioned by (store, order), each chunk folds its own files with a symbo
 field f had before this chunk"), and the chunks' summaries are fused in order per store. So no store, however hot, is
 read by one task; what one task sees of a store is one short summary per chunk.
 
-Reported changes (see ``changes``): added, removed, renamed, type. ``unified`` keeps every field in one table, with a
-branch per type (the tagged union) and the canonical text.
+Reported changes (see ``changes``, top-level fields): added, removed, renamed, type. ``path_alternatives`` retains the
+types of every path at every depth; ``unified`` keeps every path in one table, with a branch per type (the tagged
+union) and the canonical text.
 
 Defined results: a null value has no type and changes nothing; torn headers and non-objects are passed over;
 deliveries of the same file count once; two fields are of like name when their letters are equal, one contains the
@@ -175,27 +176,87 @@ def changes(df: DataFrame) -> DataFrame:
 
 
 def alternatives(df: DataFrame) -> DataFrame:
-    """field, type, files, first_run: the tagged union of every field over all files."""
+    """field, type, files, first_run: the tagged union of every top-level field over all files."""
     files = typed_headers(df).select("run", F.explode(F.from_json("fields", "map<string,string>")).alias("field", "type"))
     return files.where("type is not null").groupBy("field", "type").agg(F.count("*").alias("files"), F.min("run").alias("first_run"))
 
 
+def step_name(key: str) -> str:
+    """A key as it stands in a path: the signs that paths are made of are escaped."""
+    return re.sub(r"([\\.\[\]])", r"\\\1", key)
+
+
+def branches(header: dict) -> Iterator[tuple[str, tuple[int, ...], object]]:
+    """(path, positions, value) of every value at every depth: ``retrieval.major``, ``lanes[]``."""
+    # an explicit stack: headers may be nested deeper than Python's own
+    stack = [(step_name(k), (), x) for k, x in reversed(header.items())]
+    while stack:
+        path, pos, v = stack.pop()
+        yield path, pos, v
+        if isinstance(v, dict):
+            stack += [(f"{path}.{step_name(k)}", pos, x) for k, x in reversed(v.items())]
+        elif isinstance(v, list):
+            stack += [(f"{path}[]", (*pos, i), x) for i, x in reversed(list(enumerate(v)))]
+
+
+class _Fraction(float):
+    """A fraction with its text as written."""
+
+    def __new__(cls, text: str) -> _Fraction:
+        f = super().__new__(cls, text)
+        f.text = text
+        return f
+
+
+def typed_paths(df: DataFrame, once: bool = False) -> DataFrame:
+    """store, run, field, pos, type, text: one row for each value at each path of each file, null values with no type.
+
+    With once=True a path and type is given once for each file, without pos and text.
+    """
+    schema = pa.schema([("store", pa.string()), ("run", pa.string()), ("field", pa.string()), ("pos", pa.list_(pa.int32())), ("type", pa.string()), ("text", pa.string())])
+
+    def written(v: object) -> str | None:
+        if v is None or isinstance(v, str):
+            return v
+        return v.text if isinstance(v, _Fraction) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list = []
+            for s, r, h in zip(*(c.to_pylist() for c in b.columns)):
+                v = json.loads(h, parse_float=_Fraction)
+                if isinstance(v, str):
+                    v = json.loads(v, parse_float=_Fraction)
+                if once:
+                    out += [(s, r, p, None, t, None) for p, t in {(p, json_type(x)) for p, _, x in branches(v)}]
+                else:
+                    out += [(s, r, p, pos, json_type(x), written(x)) for p, pos, x in branches(v)]
+            for at in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 20_000]), schema)], schema=schema)
+
+    return typed_headers(df).select("store", "run", "header").mapInArrow(run, "store string, run string, field string, pos array<int>, type string, text string")
+
+
+def path_alternatives(df: DataFrame) -> DataFrame:
+    """field, type, files, first_run: as ``alternatives``, for the paths of every depth."""
+    files = typed_paths(df, once=True).where("type is not null")
+    return files.groupBy("field", "type").agg(F.count("*").alias("files"), F.min("run").alias("first_run"))
+
+
 def unified(df: DataFrame) -> DataFrame:
-    """One consistent table of all headers: a row per file and field, its type's branch and the canonical text.
+    """One consistent table of all headers: a row per file and path, its type's branch and the canonical text.
 
-    store, run, field, type, as_integer, as_number, as_text, as_json, canonical. A typed branch is null unless the
-    value has that type; canonical holds every value as text (numbers without a needless fraction).
+    store, run, field, type, as_integer, as_number, as_text, as_json, canonical, pos. field is the path (see
+    ``branches``), pos the positions in the lists on the way. A typed branch is null unless the value has that type;
+    canonical holds every value as text (numbers without a needless fraction).
     """
-    files = typed_headers(df)
-    v = F.explode(F.from_json("header", "map<string,string>")).alias("field", "text")
-    kinds = F.from_json("fields", "map<string,string>")
-    r = files.select("store", "run", kinds.alias("kinds"), v).withColumn("type", F.col("kinds")[F.col("field")])
     is_ = lambda *t: F.col("type").isin(*t)
-    return r.select(
+    return typed_paths(df).select(
         "store", "run", "field", "type",
         F.when(is_("integer"), F.expr("try_cast(text as bigint)")).alias("as_integer"),
         F.when(is_("number"), F.expr("try_cast(text as double)")).alias("as_number"),
         F.when(is_("string"), F.col("text")).alias("as_text"),
         F.when(is_("object", "array"), F.col("text")).alias("as_json"),
         F.when(F.col("type").isNotNull(), F.regexp_replace("text", r"^(-?\d+)\.0+$", "$1")).alias("canonical"),
+        "pos",
     )

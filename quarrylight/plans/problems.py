@@ -19,6 +19,7 @@ def queries() -> dict:
         "dependency_causes": lambda s, d: hierarchy.causes(t(s, d, "work_items")),
         "p4_found": lambda s, d: drift.changes(t(s, d, "run_headers")),
         "p4_alternatives": lambda s, d: drift.alternatives(t(s, d, "run_headers")),
+        "p4_paths": lambda s, d: drift.path_alternatives(t(s, d, "run_headers")),
         "p4_unified": lambda s, d: drift.unified(t(s, d, "run_headers")),
     }
 

@@ -70,3 +70,15 @@ def test_unified_keeps_typed_branches(spark):
     r = {(x.run, x.field): x for x in drift.unified(df).collect()}
     assert r["1", "a"].as_integer == 1 and r["2", "a"].as_number == 3.0 and r["2", "a"].canonical == "3" and r["3", "a"].as_text == "x" and r["1", "b"].as_json == "[1,2]"
     assert {tuple(x)[:3] for x in drift.alternatives(df).collect()} == {("a", "integer", 1), ("a", "number", 1), ("a", "string", 1), ("b", "array", 1)}
+
+
+def test_paths_below_the_top_level(spark):
+    a = {"retrieval": {"major": 3, "lanes": ["x", {"k": 1.50}], "old": None}, "a.b": 1}
+    df = spark.createDataFrame([("s", "1", json.dumps(a), ""), ("s", "1", json.dumps(a), ""), ("s", "2", '{"retrieval": {"major": "4"}}', ""), ("s", "3", json.dumps('{"retrieval": [7, 8]}'), ""), ("s", "4", "{torn", "")], H)
+    r = {(x.run, x.field, tuple(x.pos)): x for x in drift.unified(df).collect()}
+    assert r["1", "retrieval.major", ()].as_integer == 3 and r["2", "retrieval.major", ()].as_text == "4"
+    assert r["1", "retrieval.lanes[]", (0,)].as_text == "x" and r["1", "retrieval.lanes[].k", (1,)].as_number == 1.5
+    assert r["1", "retrieval.old", ()].type is None and r["1", "a\\.b", ()].as_integer == 1
+    assert [r["3", "retrieval[]", (i,)].as_integer for i in (0, 1)] == [7, 8] and len(r) == 13
+    kinds = {tuple(x) for x in drift.path_alternatives(df).collect()}
+    assert {k for k in kinds if k[0].startswith("retrieval") and k[0] != "retrieval"} == {("retrieval.major", "integer", 1, "1"), ("retrieval.major", "string", 1, "2"), ("retrieval.lanes", "array", 1, "1"), ("retrieval.lanes[]", "string", 1, "1"), ("retrieval.lanes[]", "object", 1, "1"), ("retrieval.lanes[].k", "number", 1, "1"), ("retrieval[]", "integer", 1, "3")}
