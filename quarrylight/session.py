@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,24 +37,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode a temporary one where it is unset.
+
+    On a cluster a machine's own folder would not do, so there the setting is required.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quarrylight-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, hint: str = "t") -> DataFrame:
+def materialise(df: DataFrame, hint: str = "t", by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage is cut and survives lost executors.
 
-    The folder is removed when the driver's Python ends.
+    With ``by`` the table is split by that column, so that a filter on it reads its part alone. The folder is removed
+    when the driver's Python ends, or by ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrylight/{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarrylight_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more, such as an iteration's earlier rounds."""
+    for t in tables:
+        path = getattr(t, "_quarrylight_path", None)
+        if path:
+            _remove(t.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -28,7 +28,7 @@ def reach(spark, links):
     return {(r.u, r.y): r.dist for r in hierarchy.reach(df).collect()}
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=16))
 def test_any_graph(spark, links):
     links = [(str(a), str(b)) for a, b in links]
@@ -52,6 +52,28 @@ def test_items(spark):
     assert t["D"] == (None, None, None, 2, "circle") and t["F"][4] == "below circle" and t["G"][0] == "G"
 
 
+def test_ladder_deeper_than_any_number_of_rounds(spark):
+    links = [(f"{a}{i}", f"{b}{i + 1}") for i in range(260) for a in "ab" for b in "ab"]
+    got = reach(spark, links)
+    assert len(got) == 2 * sum(2 * k for k in range(1, 261)) and got["a0", "b260"] == 260
+    nodes = spark.createDataFrame([(f"{a}{i}",) for i in range(261) for a in "ab"] + [("x",), ("y",), ("z",)], "u string")
+    df = spark.createDataFrame(links + [("x", "y"), ("y", "y"), ("z", "a250")], "u string, v string")
+    d = {r.u: r.depth for r in hierarchy.depths(df, nodes).collect()}
+    assert d["a0"] == 260 and d["b260"] == 0 and d["z"] == 11 and "x" not in d and "y" not in d
+
+
+def test_weights_on_the_way_of_a_core_edge(spark):
+    # a chain between two nodes of a circle, and a shorter way beside it
+    links = [("a", "c0"), *[(f"c{i}", f"c{i + 1}") for i in range(9)], ("c9", "b"), ("b", "a"), ("a", "d"), ("d", "b"), ("b", "d")]
+    assert reach(spark, links) == search(links)
+
+
+def test_causes_by_normalised_ids(spark):
+    rows = [("A", "draft", ["b"]), (" b ", "new", None), ("B", "draft", None), ("c", "new", [" B"])]
+    df = spark.createDataFrame([(i, None, d, s) for i, s, d in rows], "item_id string, parent string, depends_on array<string>, status string")
+    assert {(r.item_id, r.causes, r.first_cause) for r in hierarchy.causes(df).collect()} == {("A", 1, "B"), ("c", 1, "B")}
+
+
 def test_nothing(spark):
     assert hierarchy.found(items(spark, [])).count() == 0
     assert hierarchy.tree(items(spark, [])).count() == 0
