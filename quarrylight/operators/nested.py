@@ -16,9 +16,11 @@ JSON is a plain string. Duplicate deliveries are the caller's business (``latest
 from __future__ import annotations
 
 import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,118 @@ from pyspark.sql import types as T
 ROW = "relation string, parent string, record_id string, row_id string, parent_id string, pos array<int>, fields map<string,string>"
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null|NaN|-?Infinity")
+
+
+def deep_loads(text: str) -> object:
+    """json.loads with a stack of its own, for texts nested deeper than Python's."""
+    at, n = 0, len(text)
+    stack: list = []  # (container, key that waits for its value)
+    atoms = {"true": True, "false": False, "null": None}
+
+    def blank(i: int) -> int:
+        return _BLANK.match(text, i).end()
+
+    while True:
+        at = blank(at)
+        c = text[at : at + 1]
+        if c in ("{", "["):
+            box: dict | list = {} if c == "{" else []
+            at = blank(at + 1)
+            if text[at : at + 1] == ("}" if c == "{" else "]"):
+                at += 1
+                value: object = box
+            else:
+                key = None
+                if c == "{":
+                    if text[at : at + 1] != '"':
+                        raise ValueError(f"no key at {at}")
+                    key, at = scanstring(text, at + 1)
+                    at = blank(at)
+                    if text[at : at + 1] != ":":
+                        raise ValueError(f"no colon at {at}")
+                    at += 1
+                stack.append((box, key))
+                continue
+        elif c == '"':
+            value, at = scanstring(text, at + 1)
+        else:
+            m = _ATOM.match(text, at)
+            if not m:
+                raise ValueError(f"no value at {at}")
+            at = m.end()
+            value = atoms[m[0]] if m[0] in atoms else json.loads(m[0])
+        # the value goes into what waits for it, and closes it where it was the last
+        while stack:
+            box, key = stack.pop()
+            if key is None:
+                box.append(value)
+            else:
+                box[key] = value
+            at = blank(at)
+            c = text[at : at + 1]
+            at += 1
+            if c == ",":
+                at = blank(at)
+                if key is not None:
+                    if text[at : at + 1] != '"':
+                        raise ValueError(f"no key at {at}")
+                    key, at = scanstring(text, at + 1)
+                    at = blank(at)
+                    if text[at : at + 1] != ":":
+                        raise ValueError(f"no colon at {at}")
+                    at += 1
+                stack.append((box, key))
+                break
+            if c != ("]" if key is None else "}"):
+                raise ValueError(f"not closed at {at}")
+            value = box
+        else:
+            if blank(at) != n:
+                raise ValueError(f"more than one value at {at}")
+            return value
+
+
+def deep_dumps(v: object) -> str:
+    """json.dumps (sorted keys) with a stack of its own."""
+    out: list[str] = []
+    todo: list = [(v, None)]
+    while todo:
+        x, raw = todo.pop()
+        if raw is not None:
+            out.append(raw)
+        elif isinstance(x, dict) and x:
+            todo.append((None, "}"))
+            for i, k in enumerate(sorted(x, reverse=True)):
+                todo += [(x[k], None), (None, ("" if i == len(x) - 1 else ", ") + json.dumps(k, ensure_ascii=False) + ": ")]
+            out.append("{")
+        elif isinstance(x, list) and x:
+            todo.append((None, "]"))
+            for i in range(len(x) - 1, -1, -1):
+                todo.append((x[i], None))
+                if i:
+                    todo.append((None, ", "))
+            out.append("[")
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
+
+
+def loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return deep_loads(text)
+
+
+def dumps(v: object) -> str:
+    try:
+        return json.dumps(v, ensure_ascii=False, sort_keys=True)
+    except RecursionError:
+        return deep_dumps(v)
+
+
 def opened(v: object) -> object:
     """The value, with JSON text in strings opened (only containers and quoted text count as JSON text)."""
     while isinstance(v, str):
@@ -35,7 +149,7 @@ def opened(v: object) -> object:
         if not s or s[0] not in '[{"':
             return None if not s else v
         try:
-            v = json.loads(s)
+            v = loads(s)
         except ValueError:
             return v
     return v
@@ -50,8 +164,8 @@ def parsed(text: str | None) -> object:
     if text is None or not text.strip():
         return None
     try:
-        return opened(json.loads(text))
-    except (ValueError, RecursionError):
+        return opened(loads(text))
+    except ValueError:
         return text
 
 
@@ -81,25 +195,25 @@ class Plan:
     keyed: frozenset[str] = frozenset()
     split: frozenset[str] = frozenset()
     roots: frozenset[str] = frozenset()
-    shallow: bool = False
 
 
 @dataclass
 class _Edges:
     many: dict[tuple[str, str], bool] = field(default_factory=dict)
 
-    def see(self, parent: str, label: str, v: object, keyed: frozenset[str], depth: int = 0) -> None:
-        v = opened(v)
-        if void(v):
-            return
-        repeated = isinstance(v, list) or (isinstance(v, dict) and label in keyed and all(isinstance(opened(x), dict) for x in v.values()))
-        self.many[parent, label] = self.many.get((parent, label), False) or repeated
-        if depth > 200:
-            return
-        for x in listed(v, label, keyed):
-            if isinstance(x, dict):
-                for k, y in x.items():
-                    self.see(label, k, y, keyed, depth + 1)
+    def see(self, column: str, value: object, keyed: frozenset[str]) -> None:
+        # an explicit stack: records may be nested deeper than Python's own
+        todo = [("", column, value)]
+        while todo:
+            parent, label, v = todo.pop()
+            v = opened(v)
+            if void(v):
+                continue
+            repeated = isinstance(v, list) or (isinstance(v, dict) and label in keyed and all(isinstance(opened(x), dict) for x in v.values()))
+            self.many[parent, label] = self.many.get((parent, label), False) or repeated
+            for x in listed(v, label, keyed):
+                if isinstance(x, dict):
+                    todo += [(label, k, y) for k, y in x.items()]
 
 
 def schema_graph(df: DataFrame, columns: list[str], keyed: frozenset[str] = frozenset()) -> DataFrame:
@@ -115,7 +229,7 @@ def schema_graph(df: DataFrame, columns: list[str], keyed: frozenset[str] = froz
                 for text in b.column(b.schema.get_field_index(c)).to_pylist():
                     v = parsed(text)
                     if not void(v):
-                        e.see("", c, v, keyed)
+                        e.see(c, v, keyed)
         yield pa.RecordBatch.from_pydict({"parent": [p for p, _ in e.many], "label": [x for _, x in e.many], "many": list(e.many.values())}, schema=pa.schema([("parent", pa.string()), ("label", pa.string()), ("many", pa.bool_())]))
 
     return df.select(*columns).mapInArrow(fuse, "parent string, label string, many boolean").groupBy("parent", "label").agg(F.max("many").alias("many"))
@@ -152,19 +266,22 @@ def shred(df: DataFrame, key: str, columns: list[str], plan: Plan, values: bool
     """
 
     def scalar(v: object) -> str:
-        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
+        return v if isinstance(v, str) else dumps(v)
 
     def inline(v: dict, prefix: str, fields: dict, pending: list, label: str) -> None:
-        for k, y in v.items():
-            y = opened(y)
-            if void(y):
-                continue
-            if k in plan.tables or isinstance(y, list):
-                pending.append((label, k, y))
-            elif isinstance(y, dict):
-                inline(y, f"{prefix}{k}.", fields, pending, k)
-            elif values:
-                fields[prefix + k] = scalar(y)
+        todo = [(v, prefix, label)]
+        while todo:
+            v, prefix, label = todo.pop()
+            for k, y in v.items():
+                y = opened(y)
+                if void(y):
+                    continue
+                if k in plan.tables or isinstance(y, list):
+                    pending.append((label, k, y))
+                elif isinstance(y, dict):
+                    todo.append((y, f"{prefix}{k}.", k))
+                elif values:
+                    fields[prefix + k] = scalar(y)
 
     def rows(rid: str, out: list) -> None:
         # an explicit stack: records may be nested deeper than Python's own

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime
 
+import pytest
+
 from quarrylight.operators import nested
 
 T = datetime(2025, 1, 1)
@@ -88,3 +90,27 @@ def test_relations_keep_keys(spark):
 def test_very_deep_record_does_not_break(spark):
     deep = "[" * 150 + "1" + "]" * 150
     assert got(spark, [("A", deep, None, None)])
+
+
+def test_deep_texts_are_read_and_written():
+    deep = "[" * 20_000 + '{"a": [1, -2.5, "x\\n", null, true, {}, []]}' + "]" * 20_000
+    v = nested.parsed(deep)
+    assert isinstance(v, list) and nested.dumps(v) == deep
+    for text in ('{"a": 1, "b": [2, {"c": "d"}], "e": {}}', "[]", "3", '"s"', '[1, [2, [3]], {"k": null}]'):
+        assert nested.deep_loads(text) == json.loads(text) and json.loads(nested.deep_dumps(json.loads(text))) == json.loads(text)
+    for text in ("[1,", "[1}", '{"a" 1}', "[1] 2", "", "{1: 2}", "nul"):
+        with pytest.raises(ValueError):
+            nested.deep_loads(text)
+
+
+def test_records_deeper_than_pythons_stack(spark):
+    n = 1500
+    recursive = '{"a": ' * n + '{"w": "end"}' + "}" * n
+    single = "".join(f'{{"k{i}": ' for i in range(n)) + "7" + "}" * n
+    df = spark.createDataFrame([("1", recursive), ("2", single)], "id string, c string")
+    edges = [tuple(r) for r in nested.schema_graph(df, ["c"]).collect()]
+    assert len(edges) == 2 + 2 + n
+    rows = nested.shred(df, "id", ["c"], nested.inline_plan(edges)).collect()
+    ends = [r for r in rows if r.fields and r.fields.get("w") == "end"]
+    assert len(ends) == 1 and ends[0].pos == [0] * n and sum(r.relation == "a" for r in rows) == n
+    assert [list(r.fields.values()) for r in rows if r.record_id == "2"] == [["7"]]
