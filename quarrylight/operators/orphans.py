@@ -8,6 +8,11 @@ is what the state keeps for each reference, so every batch is a small update, in
 * arriving parents raise the balance of references that wait for them,
 * deletions lower it again, which reopens references that had been settled.
 
+The state is cut by key into BUCKETS parts, for the index as for the references. A batch reads and writes only the parts
+that hold a key it brings events for; its new references are added as files of their own, and probe only the parts of
+the index that hold their keys. Each epoch ends with a snapshot of the counts for each period, of the references that
+wait then.
+
 Defined results: a null or blank key is no reference; a reference without a time is an orphan whatever parents there
 are, with a null period; repeated references (same table, record, spelling and time) count once; an empty parent
 table leaves every reference an orphan.
@@ -15,14 +20,24 @@ table leaves every reference an orphan.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.session import BROADCAST_ROWS, materialise
+from quarrylight.session import empty, materialise
 
 REFS = ["src_table", "src_id", "ref_id", "key", "at"]
+#: Keys of an index up to which it is broadcast (counted first); a row is a key's history, some hundred bytes.
+SMALL_INDEX = 20_000
+#: Parts of the state. A batch touches the parts of its keys.
+BUCKETS = 16
+
+
+def bucket() -> F.Column:
+    return F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 def index_of(events: DataFrame) -> DataFrame:
@@ -40,52 +55,87 @@ def balance_at(steps: str, at: str) -> F.Column:
     return F.coalesce(F.aggregate(known, F.lit(0).cast("bigint"), lambda a, s: a + s["delta"]), F.lit(0).cast("bigint"))
 
 
-def probe(refs: DataFrame, index: DataFrame, index_rows: int) -> DataFrame:
+def probe(refs: DataFrame, index: DataFrame, small: bool | None = None) -> DataFrame:
     """refs with the column change: what the index's events add to each reference's balance.
 
-    A small index (its rows are counted by the caller) is broadcast. Otherwise heavy keys, of which there can be but
-    few, are joined by broadcast of their own index rows, so that no task gets the third of all rows that may share a
-    key; the rest is shuffled by key.
+    A small index (its keys are counted) is broadcast. Otherwise heavy keys, of which there can be but few, are joined
+    by broadcast of their own index rows, so that no task gets the third of all rows that may share a key; the rest is
+    shuffled by key.
     """
     change = balance_at("steps", "at").alias("change")
-    if index_rows <= BROADCAST_ROWS:
+    if small is None:
+        small = index.limit(SMALL_INDEX + 1).count() <= SMALL_INDEX
+    if small:
         return refs.join(F.broadcast(index), "key", "left").select(*refs.columns, change)
     parts = 256
     counts = refs.groupBy("key").count()
-    total = F.sum("count")
-    limit = counts.agg(total.alias("n")).first()["n"] or 0
-    heavy = counts.where(F.col("count") > max(limit // parts, 10_000)).select("key")  # fewer than `parts` keys
+    total = counts.agg(F.sum("count").alias("n")).first()["n"] or 0
+    heavy = counts.where(F.col("count") > max(total // parts, 10_000)).select("key")  # fewer than `parts` keys
     heavy_index = F.broadcast(index.join(F.broadcast(heavy), "key", "left_semi"))
     hot = refs.join(F.broadcast(heavy), "key", "left_semi").join(heavy_index, "key", "left").select(*refs.columns, change)
-    cold = refs.join(F.broadcast(heavy), "key", "left_anti").join(index, "key", "left").select(*refs.columns, change)
+    cold = refs.join(F.broadcast(heavy), "key", "left_anti").join(index.hint("merge"), "key", "left").select(*refs.columns, change)
     return hot.unionByName(cold)
 
 
+def merged(index: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The index with the histories of the arrived keys added: deltas of the same time are one step."""
+    steps = index.select("key", F.explode("steps").alias("s")).unionByName(arrived.select("key", F.explode("steps").alias("s")))
+    return index_of(steps.select("key", "s.at", "s.delta"))
+
+
+_INDEX = "key string, steps array<struct<at: timestamp, delta: bigint>>, bucket int"
+
+
 @dataclass
 class OrphanState:
-    """events: all parent events so far; refs: REFS and balance of all references so far."""
+    """index: the parent index by bucket; refs: REFS and balance by bucket (several tables where several batches came).
+    """
 
-    events: DataFrame | None = None
-    refs: DataFrame | None = None
+    index: dict[int, DataFrame] = field(default_factory=dict)
+    refs: dict[int, list[DataFrame]] = field(default_factory=dict)
 
     def advance(self, new_refs: DataFrame, new_events: DataFrame, cut: bool = True) -> OrphanState:
-        """The state after one more batch. With cut=False nothing is written (for a last batch)."""
-        events = new_events if self.events is None else self.events.unionByName(new_events)
-        if cut:
-            events = materialise(events, "orphan-events")
-        index = index_of(events)
-        rows = events.select("key").distinct().count()
-        probed = probe(new_refs, index, rows).select(*REFS, F.col("change").alias("balance"))
-        if self.refs is not None:
-            arrived = index_of(new_events)
-            n = new_events.select("key").distinct().count()
-            old = probe(self.refs, arrived, n).select(*REFS, (F.col("balance") + F.col("change")).alias("balance"))
-            probed = old.unionByName(probed)
-        return OrphanState(events, materialise(probed, "orphan-refs") if cut else probed)
+        """The state after one more batch. With cut=False its tables are not written (for a last batch)."""
+        spark = new_refs.sparkSession
+        # sorted by bucket, so that a filter on it passes over the other row groups
+        keep = (lambda df, name: materialise(df.sortWithinPartitions("bucket"), name)) if cut else (lambda df, name: df)
+        fresh = new_refs.select(*REFS, bucket())
+        arrived = materialise(index_of(new_events).select("*", bucket()).sortWithinPartitions("bucket"), "arrived")
+        known = {r["bucket"]: r["n"] for r in arrived.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row for each bucket
+        touched = sorted(known)
+        mine = lambda df, bs: df.where(F.col("bucket").isin(*bs)) if len(bs) < BUCKETS else df
+        # 1. the index: only the parts with keys of the batch are merged and written again
+        old_parts = _tables([self.index[b] for b in touched if b in self.index])
+        index = dict(self.index)
+        if touched:
+            whole = arrived
+            if old_parts is not None:
+                whole = keep(merged(mine(old_parts, touched), arrived).select("*", bucket()), "index")
+            index |= dict.fromkeys(touched, whole)
+        # 2. new references probe the index
+        at_hand = [t.where(F.col("bucket").isin(*[b for b in index if index[b] is t])) for t in _distinct(index.values())]
+        all_index = reduce(DataFrame.unionByName, at_hand) if at_hand else empty(spark, _INDEX)
+        probed = probe(fresh, all_index.drop("bucket")).select(*REFS, F.col("change").alias("balance"), "bucket")
+        # 3. old references of the touched parts are settled or reopened
+        refs = {b: list(ts) for b, ts in self.refs.items()}
+        waiting = _tables([t for b in touched for t in refs.get(b, ())])
+        if waiting is not None:
+            moved = probe(mine(waiting, touched), arrived.drop("bucket")).select(*REFS, (F.col("balance") + F.col("change")).alias("balance"), "bucket")
+            refs |= dict.fromkeys(touched, [keep(moved, "refs")])
+        probed = keep(probed, "new-refs")
+        return OrphanState(index, {b: [*refs.get(b, ()), probed] for b in range(BUCKETS)})
+
+    def all_refs(self) -> DataFrame:
+        tables = _distinct(t for ts in self.refs.values() for t in ts)
+        parts = []
+        for t in tables:
+            bs = [b for b, ts in self.refs.items() if any(x is t for x in ts)]
+            parts.append((t.where(F.col("bucket").isin(*bs)) if len(bs) < BUCKETS else t).select(*REFS, "balance"))
+        return reduce(DataFrame.unionByName, parts)
 
     def orphans(self) -> DataFrame:
         """src_table, src_id, ref_id, period of every reference that waits for its parent, each once."""
-        waiting = self.refs.where("at is null or balance <= 0")
+        waiting = self.all_refs().where("at is null or balance <= 0")
         return waiting.select("src_table", "src_id", "ref_id", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
     def snapshot(self) -> DataFrame:
@@ -93,6 +143,19 @@ class OrphanState:
         return self.orphans().groupBy("src_table", "period").agg(F.count("*").alias("orphans"))
 
 
+def _distinct(tables) -> list[DataFrame]:
+    out: list[DataFrame] = []
+    for t in tables:
+        if not any(t is x for x in out):
+            out.append(t)
+    return out
+
+
+def _tables(tables: list[DataFrame]) -> DataFrame | None:
+    found = _distinct(tables)
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def item_refs(items: DataFrame) -> DataFrame:
     """The entries of depends_on as references, by normalised id; arrived is when the row was delivered."""
     return items.select(F.col("item_id").alias("src_id"), F.col("filed_at").alias("at"), F.col("loaded_at").alias("arrived"), F.explode("depends_on").alias("ref_id")).where("trim(ref_id) != '' and src_id is not null").select(
@@ -124,37 +187,69 @@ def line_events(lines: DataFrame) -> DataFrame:
     return one.select(key, F.explode(F.array(add, gone)).alias("e")).where("e.at is not null").select("key", "e.at", "e.delta", F.col("e.at").alias("arrived"))
 
 
-def orphan_state(items: DataFrame, entries: DataFrame, lines: DataFrame, epochs: int = 2) -> list[OrphanState]:
-    """The states after each of `epochs` batches of arrivals, split evenly over the time in which rows arrived.
+def bounds(items: DataFrame, epochs: int) -> list:
+    """The times at which the epochs but the last end: the time in which items arrived, cut evenly."""
+    span = items.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b")).first()
+    if span["a"] is None:
+        return []
+    return [span["a"] + (span["b"] - span["a"]) * k / epochs for k in range(1, epochs)]
+
+
+def batches(refs: DataFrame, events: DataFrame, ends: list) -> list[tuple[DataFrame, DataFrame]]:
+    """refs and events cut at the times in ends by the column arrived; rows without one come with the first batch."""
+    out = []
+    for k in range(len(ends) + 1):
+        here = F.lit(True)
+        if k:
+            here &= F.col("arrived") >= F.lit(ends[k - 1])
+        if k < len(ends):
+            here &= F.col("arrived") < F.lit(ends[k])
+        here = F.coalesce(here, F.lit(k == 0))
+        out.append((refs.where(here).drop("arrived"), events.where(here).drop("arrived")))
+    return out
+
+
+def orphan_states(items: DataFrame, entries: DataFrame, lines: DataFrame, ends: list) -> list[list[OrphanState]]:
+    """The states after each batch, for work items and for run entries.
 
-    Items and kb lines keep apart through their key's prefix, and each has a state of its own: items refer to items,
-    of which there are as many as references; entries refer to kb lines, a small table that is broadcast.
+    Items and kb lines keep apart: items refer to items, of which there are as many as references; entries refer to kb
+    lines, a small table.
     """
-    span = items.agg(F.min("loaded_at").alias("a"), F.max("loaded_at").alias("b")).first()
     out = []
     for refs, events in ((item_refs(items), item_events(items)), (citation_refs(entries), line_events(lines))):
-        state = OrphanState()
-        for k in range(epochs):
-            r, e = refs, events
-            if span["a"] is not None and epochs > 1:
-                low = span["a"] + (span["b"] - span["a"]) * k / epochs
-                high = span["a"] + (span["b"] - span["a"]) * (k + 1) / epochs
-                here = F.lit(True)
-                if k:
-                    here &= F.col("arrived") >= F.lit(low)
-                if k < epochs - 1:
-                    here &= F.col("arrived") < F.lit(high)
-                # rows without an arrival time come with the first batch
-                here = F.coalesce(here, F.lit(k == 0))
-                r, e = refs.where(here), events.where(here)
-            elif k:
-                break
-            state = state.advance(r.drop("arrived"), e.drop("arrived"), cut=k < epochs - 1)
-        out.append(state)
+        states = [OrphanState()]
+        parts = batches(refs, events, ends)
+        for k, (r, e) in enumerate(parts):
+            states.append(states[-1].advance(r, e, cut=k < len(parts) - 1))
+        out.append(states[1:])
     return out
 
 
-def found(items: DataFrame, entries: DataFrame, lines: DataFrame) -> DataFrame:
-    """p2_found: every dangling reference, with its table and month."""
-    a, b = orphan_state(items, entries, lines)
-    return a.orphans().unionByName(b.orphans())
+def found(items: DataFrame, entries: DataFrame, lines: DataFrame, epochs: int = 2) -> DataFrame:
+    """p2_found: every dangling reference, with its table and month, after the batches of all epochs."""
+    a, b = orphan_states(items, entries, lines, bounds(items, epochs))
+    return a[-1].orphans().unionByName(b[-1].orphans())
+
+
+def snapshots(items: DataFrame, entries: DataFrame, lines: DataFrame, epochs: int = 3) -> DataFrame:
+    """p2_counts: epoch, src_table, period, orphans: the counts at the end of each epoch, of what had arrived by then."""
+    per = orphan_states(items, entries, lines, bounds(items, epochs))
+    return reduce(DataFrame.unionByName, [s.snapshot().select(F.lit(k).cast("bigint").alias("epoch"), "*") for states in per for k, s in enumerate(states)])
+
+
+def fold_stream(stream: DataFrame, split: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, sink: str) -> None:
+    """Feed a stream's batches to the state; each batch's snapshot goes to a folder of its own below sink.
+
+    split cuts a batch into references (REFS) and events (key, at, delta). The batches run in one driver, which holds
+    the state; a batch that comes again overwrites its snapshot.
+    """
+    from quarrylight.streaming.flows import each_batch
+
+    states: dict[int, OrphanState] = {-1: OrphanState()}
+
+    def one(df: DataFrame, batch: int) -> None:
+        refs, events = split(df)
+        states[batch] = states[max(k for k in states if k < batch)].advance(refs, events)
+        states[batch].snapshot().write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
+    each_batch(stream, one, checkpoint)

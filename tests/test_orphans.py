@@ -59,6 +59,30 @@ def test_tables_with_nulls_repeats_and_nothing(spark):
 
 
 def test_large_index_takes_the_shuffled_way(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(orphans, "SMALL_INDEX", 0)
     refs = [(str(i), "hot" if i % 3 else f"k{i}", 5) for i in range(60)]
-    assert state(spark, [(refs, [("hot", 1, 1), ("k0", 1, 1)])]) == {(str(i), f"k{i}") for i in range(3, 60, 3)}
+    first = (refs, [("hot", 1, 1), ("k0", 1, 1)])
+    assert state(spark, [first]) == {(str(i), f"k{i}") for i in range(3, 60, 3)}
+    assert state(spark, [first, ([], [("hot", 5, -1), ("k3", 2, 1)])]) == {(r[0], r[1]) for r in refs if r[1] not in ("k0", "k3")}
+
+
+def test_a_batch_writes_only_the_parts_of_its_keys(spark):
+    s = orphans.OrphanState().advance(spark.createDataFrame([("t", str(i), f"k{i}", f"k{i}", day(5)) for i in range(40)], REFS), spark.createDataFrame([(f"k{i}", day(1), 1) for i in range(20)], EVENTS))
+    n = s.advance(spark.createDataFrame([], REFS), spark.createDataFrame([("k0", day(2), -1)], EVENTS))
+    moved = [b for b in range(orphans.BUCKETS) if n.refs[b][0] is not s.refs[b][0]]
+    assert len(moved) == 1 and sum(n.index.get(b) is not s.index.get(b) for b in range(orphans.BUCKETS)) == 1
+    assert {r.ref_id for r in n.orphans().collect()} == {"k0", *(f"k{i}" for i in range(20, 40))}
+
+
+def test_snapshots_of_a_stream(spark, tmp_path):
+    rows = [("r", "1", "p", 10, None), ("e", None, "p", 3, 1), ("e", None, "p", 10, -1)]
+    for i, (what, sid, key, at, delta) in enumerate(rows):
+        spark.createDataFrame([(i, what, sid, key, day(at), delta)], "n int, what string, sid string, key string, at timestamp, delta int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def split(df):
+        return df.where("what = 'r'").selectExpr("'t' as src_table", "sid as src_id", "key as ref_id", "key", "at"), df.where("what = 'e'").select("key", "at", "delta")
+
+    s = spark.readStream.schema("n int, what string, sid string, key string, at timestamp, delta int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    orphans.fold_stream(s, split, str(tmp_path / "check"), str(tmp_path / "out"))
+    got = {r.batch: r.orphans for r in spark.read.schema("src_table string, period string, orphans bigint, batch int").parquet(str(tmp_path / "out")).collect()}
+    assert sum(got.values()) == 2 and len(got) == 2
