@@ -82,3 +82,16 @@ def test_paths_below_the_top_level(spark):
     assert [r["3", "retrieval[]", (i,)].as_integer for i in (0, 1)] == [7, 8] and len(r) == 13
     kinds = {tuple(x) for x in drift.path_alternatives(df).collect()}
     assert {k for k in kinds if k[0].startswith("retrieval") and k[0] != "retrieval"} == {("retrieval.major", "integer", 1, "1"), ("retrieval.major", "string", 1, "2"), ("retrieval.lanes", "array", 1, "1"), ("retrieval.lanes[]", "string", 1, "1"), ("retrieval.lanes[]", "object", 1, "1"), ("retrieval.lanes[].k", "number", 1, "1"), ("retrieval[]", "integer", 1, "3")}
+
+
+def test_one_table_and_where_alternatives_appear(spark, monkeypatch):
+    monkeypatch.setattr(drift, "CHUNK", 2)
+    rows = [("s", "1", '{"run": 1, "a": true, "A": "x"}', ""), ("s", "2", '{"run": "r", "a": null}', ""), ("t", "1", json.dumps('{"a": {"k": [1, 2.50]}}'), "")]
+    df = spark.createDataFrame(rows, H)
+    t = drift.table_of(df)
+    assert t.columns == ["store", "run", "h_A", "h_a_2", "h_run"]
+    assert sorted(tuple(x) for x in t.toDF(*"abcde").collect()) == [("s", "1", "x", "true", "1"), ("s", "2", None, None, "r"), ("t", "1", None, '{"k":[1,2.5]}', None)]
+    assert {(x.store, x.field, x.type, x.first_run, x.files, x.alternative) for x in drift.appearing(df).collect()} == {("s", "run", "integer", "1", 1, 1), ("s", "run", "string", "2", 1, 2), ("s", "a", "boolean", "1", 1, 1), ("s", "A", "string", "1", 1, 1), ("t", "a", "object", "1", 1, 1)}
+    assert [x.as_boolean for x in drift.unified(df).where("field = 'a' and run = '1' and store = 's'").collect()] == [True]
+    empty = drift.table_of(df.limit(0))
+    assert empty.count() == 0 and empty.columns == ["store", "run"]
