@@ -10,7 +10,8 @@ how many items of each size there are: at most capacity + 1 numbers for each con
 3. Containers are dealt to step groups by falling cost (sum of squared lengths) in a snake, so that the groups of
    containers that are used in one step cost about the same.
 4. Every item is numbered among those of its size and finds its container by a search in the patterns' ranges. The
-   numbering is salted: items of one size are numbered in BUCKETS parts whose counts are added up before.
+   numbering is salted: items of one size are numbered in parts whose counts are added up before. There are so many
+   parts that the most frequent size (as a rule the full pieces of long texts) has about PART items in each.
 
 Defined results: empty and null texts have 0 tokens, take no space and are dealt over the containers; repeated texts
 are items of their own; a text of exactly the capacity fills a container; limits that are null or below 1 are left
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,10 @@ from quarrylight.session import materialise
 
 #: Tiers of sizes: above 1/2, 1/4, 1/8 of the capacity, and the rest.
 TIERS = 4
-#: Parts in which the items of one size are numbered.
-BUCKETS = 64
+#: Parts in which the items of one size are numbered, at least, and items of one part, about.
+BUCKETS, PART = 64, 50_000
+#: Routes that are packed by one plan; more are packed in blocks.
+ROUTES = 500
 #: Containers of one step group.
 GROUP = 8
 
@@ -131,11 +135,9 @@ class Layout:
 def pieces(sized: DataFrame, limits: DataFrame) -> DataFrame:
     """route, capacity, doc_id, piece, tok_from, tokens: the items to pack for every route.
 
-    limits is a small table (one row for each route), which is checked before it becomes part of the plan.
+    limits has one row for each route; they become part of the plan (see ROUTES).
     """
     caps = limits.where("capacity >= 1 and route is not null").groupBy("route").agg(F.max("capacity").alias("capacity"))
-    if caps.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 routes; pack them in parts")
     routes = [F.struct(F.lit(r["route"]).alias("route"), F.lit(r["capacity"]).cast("int").alias("capacity")) for r in caps.orderBy("route").collect()]
     j = sized.select("doc_id", "tokens", F.explode(F.array(*routes)).alias("r")).select("doc_id", "tokens", "r.*")
     n = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1)).cast("int")
@@ -144,9 +146,9 @@ def pieces(sized: DataFrame, limits: DataFrame) -> DataFrame:
     return p.select("route", "capacity", "doc_id", "piece", start, F.least(F.col("capacity"), F.col("tokens") - F.col("piece") * F.col("capacity")).cast("int").alias("tokens"))
 
 
-def numbered(items: DataFrame) -> DataFrame:
+def numbered(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """items with rank: their number among those of the same route and size, from 0."""
-    b = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int"))
+    b = items.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
     keys = ["route", "tokens", "bucket"]
     before = W.partitionBy("route", "tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     base = b.groupBy(*keys).count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -154,6 +156,13 @@ def numbered(items: DataFrame) -> DataFrame:
     return b.withColumn("own", own).join(base, keys).withColumn("rank", F.col("base") + F.col("own")).drop("bucket", "own", "base")
 
 
+def _blocks(limits: DataFrame) -> list[DataFrame]:
+    """limits cut into parts of at most ROUTES routes."""
+    routes = limits.where("capacity >= 1 and route is not null").select("route").distinct()
+    n = -(-routes.count() // ROUTES)
+    return [limits] if n < 2 else [limits.where(F.pmod(F.xxhash64("route"), F.lit(n)) == k) for k in range(n)]
+
+
 def pack(sized: DataFrame, limits: DataFrame, tiers: int = TIERS, group: int = GROUP) -> DataFrame:
     """route, capacity, doc_id, piece, tok_from, tokens, container, offset, tier, step_group: a row for each item.
 
@@ -161,6 +170,9 @@ def pack(sized: DataFrame, limits: DataFrame, tiers: int = TIERS, group: int = G
     """
     if limits.where("capacity >= 1 and route is not null").limit(1).count() == 0:
         return sized.sparkSession.createDataFrame([], "route string, capacity int, doc_id bigint, piece int, tok_from bigint, tokens int, container bigint, offset int, tier int, step_group bigint")
+    blocks = _blocks(limits)
+    if len(blocks) > 1:
+        return reduce(DataFrame.unionByName, [pack(sized, b, tiers, group) for b in blocks])
     items = pieces(sized, limits)
     # at most capacity + 1 rows for each route
     counts: dict[str, dict[int, int]] = {}
@@ -187,7 +199,8 @@ def pack(sized: DataFrame, limits: DataFrame, tiers: int = TIERS, group: int = G
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(container), pa.array(at.astype(np.int32)), pa.array(t), pa.array(step)], names=names)
 
     kind = dict(sized.dtypes)["doc_id"]
-    return numbered(items).select(*names[:6], "rank").mapInArrow(place, f"route string, capacity int, doc_id {kind}, piece int, tok_from bigint, tokens int, container bigint, offset int, tier int, step_group bigint")
+    most = max((n for c in counts.values() for n in c.values()), default=0)
+    return numbered(items, max(BUCKETS, -(-most // PART))).select(*names[:6], "rank").mapInArrow(place, f"route string, capacity int, doc_id {kind}, piece int, tok_from bigint, tokens int, container bigint, offset int, tier int, step_group bigint")
 
 
 def pack_documents(docs: DataFrame, limits: DataFrame, tokenizer: str = "byte_bpe_50k", where: str = TOKENIZERS) -> DataFrame:
