@@ -6,7 +6,8 @@ bytes into what is seen. Decoding works on the distinct tokens of the corpus tha
 1. Tokens are counted over all texts. Words and signs of tokens that no channel explains make up the language model.
 2. A token's byte lattice has an arc for each character kept as it is, and for each run of characters whose bytes
    under a channel's wrong decoder are one UTF-8 character; a lost byte (U+FFFD) is a wildcard for the bytes the
-   decoder has no character for. Viterbi search finds each channel's best reading under the signs' frequencies.
+   decoder has no character for. Viterbi search keeps each channel's PATHS best readings under the signs' frequencies,
+   so that words can choose between them where a run may be read or kept, or what a lost byte was is open.
    Channels between one-byte encodings map every character they can; UTF-8 channels are tried twice, for text that
    was garbled twice.
 3. The readings' words are looked up by a join with the language model. A reading wins if its words are by so much
@@ -27,6 +28,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +48,8 @@ CYRILLIC = frozenset({"cp1251", "cp866", "koi8_r"})
 WIDE_GAIN, NARROW_GAIN = 1.5, 2.3
 #: Letters of the longest word that a reading of a one-byte channel needs to count by itself.
 STRONG = 3
+#: Readings that are kept of a channel that explains a token, and characters that are kept for a run with lost bytes.
+PATHS, FILLS = 6, 4
 #: Weight of a word the corpus does not have.
 UNSEEN = 0.05
 
@@ -98,6 +102,15 @@ class Signs:
     def __init__(self, counts: dict[str, int]):
         self.counts = counts
         self.total = sum(counts.values()) + 1
+        # the known characters by the bytes they begin with, for runs with lost bytes
+        self.led: dict[int, list[tuple[int, bytes, str]]] = {}
+        for ch, n in counts.items():
+            if ch > "\x7f" and n > 1 and not "\ud800" <= ch <= "\udfff":
+                raw = ch.encode()
+                self.led.setdefault(raw[0], []).append((-n, raw, ch))
+        for x in self.led.values():
+            x.sort()
+        self.fits: dict[tuple, list[tuple[str, float]]] = {}
 
     def log(self, ch: str) -> float:
         n = self.counts.get(ch, 0)
@@ -106,6 +119,26 @@ class Signs:
     def plausible(self, ch: str) -> bool:
         return usual(ch) or self.counts.get(ch, 0) > 1
 
+    def fitting(self, lead: int, options: tuple[tuple[int, ...], ...]) -> list[tuple[str, float]]:
+        """(character, cost) of the FILLS cheapest plausible characters with this lead byte and one of the options each.
+
+        Known characters are looked through; of the others, which all cost the same, the first in byte order is taken.
+        """
+        found = self.fits.get((lead, options))
+        if found is None:
+            sets = [frozenset(o) for o in options]
+            known = [ch for _, raw, ch in self.led.get(lead, ()) if len(raw) == len(sets) + 1 and all(b in o for b, o in zip(raw[1:], sets)) and self.plausible(ch)]
+            found = [(ch, -self.log(ch)) for ch in known[:FILLS]]
+            if len(found) < FILLS and lead not in (0xF1, 0xF2):  # no character of these planes is assigned
+                low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
+                for rest in product([b for b in options[0] if low <= b <= high], *options[1:]):
+                    ch = bytes((lead, *rest)).decode()
+                    if usual(ch) and not self.counts.get(ch):
+                        found.append((ch, -self.log(ch)))
+                        break
+            self.fits[lead, options] = found = sorted(found, key=lambda x: (x[1], x[0]))
+        return found
+
 
 def _spans(token: str, i: int, table: dict[str, int], gaps: tuple[int, ...], signs: Signs) -> Iterator[tuple[int, str, float]]:
     """The UTF-8 characters that may be read from position i: (characters used, character, cost)."""
@@ -125,52 +158,56 @@ def _spans(token: str, i: int, table: dict[str, int], gaps: tuple[int, ...], sig
             if b is None or not 0x80 <= b < 0xC0:
                 return
             options.append((b,))
-    best = None
-    todo = [bytes([lead])]
-    for o in options:
-        todo = [x + bytes([b]) for x in todo for b in o]
-        if len(todo) > 4096:
-            todo = todo[:4096]
-    for raw in todo:
-        try:
-            ch = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if signs.plausible(ch):
-            cost = -signs.log(ch)
-            if best is None or cost < best[1]:
-                best = (ch, cost)
-    if best:
-        yield need, best[0], best[1]
+    if LOST in part:
+        for ch, cost in signs.fitting(lead, tuple(options)):
+            yield need, ch, cost
+        return
+    try:
+        ch = bytes([lead, *(o[0] for o in options)]).decode()
+    except UnicodeDecodeError:
+        return
+    if signs.plausible(ch):
+        yield need, ch, -signs.log(ch)
 
 
-def wide_reading(token: str, decoder: str, signs: Signs) -> str | None:
-    """The cheapest path through the token's lattice that uses the channel, or None. Linear in the token's length."""
+def wide_readings(token: str, decoder: str, signs: Signs, paths: int = PATHS) -> list[str]:
+    """The cheapest paths through the token's lattice, if the cheapest uses the channel; else none.
+
+    Linear in the token's length, times paths. Each place keeps its cheapest ways to it: (cost, place before, way there).
+    """
     table, gaps = bytes_of(decoder), gaps_of(decoder)
     n = len(token)
-    cost = [math.inf] * (n + 1)
-    back: list[tuple[int, str] | None] = [None] * (n + 1)
-    cost[0] = 0.0
-    used = False
+    ways: list[list[tuple[float, int, int, str]]] = [[] for _ in range(n + 1)]
+    ways[0] = [(0.0, -1, 0, "")]
+    own = decoder in CYRILLIC
     for i in range(n):
+        here = ways[i] = sorted(ways[i])[:paths] if len(ways[i]) > 1 else ways[i]
         ch = token[i]
-        keep = cost[i] + (0.0 if ch < "\x80" else 25.0 if "\x80" <= ch < "\xa0" else -signs.log(ch))
-        if keep < cost[i + 1]:
-            cost[i + 1], back[i + 1] = keep, (i, ch)
+        keep = 0.0 if ch < "\x80" else 25.0 if "\x80" <= ch < "\xa0" else -signs.log(ch)
+        ways[i + 1] += [(w[0] + keep, i, k, ch) for k, w in enumerate(here)]
         if ch >= "\x80":
-            for k, read, c in _spans(token, i, table, gaps, signs):
-                if cost[i] + c < cost[i + k]:
-                    cost[i + k], back[i + k] = cost[i] + c, (i, read)
-    out = []
-    i = n
-    while i:
-        j, read = back[i]
-        used |= i - j > 1
-        if i - j == 1 and decoder in CYRILLIC and read >= "\x80" and read.isalpha():
-            return None
-        out.append(read)
-        i = j
-    return "".join(reversed(out)) if used else None
+            for used, read, c in _spans(token, i, table, gaps, signs):
+                ways[i + used] += [(w[0] + c, i, k, read) for k, w in enumerate(here)]
+    ways[n] = sorted(ways[n])[:paths]
+    out: list[str] = []
+    for at in range(len(ways[n])):
+        i, k, parts, used, bad = n, at, [], False, False
+        while i:
+            _, j, kk, read = ways[i][k]
+            used |= i - j > 1
+            bad |= own and i - j == 1 and read >= "\x80" and read.isalpha()
+            parts.append(read)
+            i, k = j, kk
+        if used and not bad:
+            out.append("".join(reversed(parts)))
+        elif not at:
+            return []
+    return out
+
+
+def wide_reading(token: str, decoder: str, signs: Signs) -> str | None:
+    """The cheapest path through the token's lattice if it uses the channel, else None."""
+    return next(iter(wide_readings(token, decoder, signs, 1)), None)
 
 
 @lru_cache(64)
@@ -190,9 +227,10 @@ def readings(token: str, signs: Signs) -> list[tuple[str, str]]:
     """(channel, reading) of every channel that explains the token, each reading once."""
     out: dict[str, str] = {}
     for d in WIDE:
-        r = wide_reading(token, d, signs)
-        if r is not None:
+        found = wide_readings(token, d, signs)
+        for r in found:
             out.setdefault(r, f"utf-8<{d}")
+        for r in found[:1]:
             for again in (d, "cp1252", "latin-1"):
                 rr = wide_reading(r, again, signs)
                 if rr is not None:

@@ -57,3 +57,20 @@ def test_nothing_and_long(spark):
     assert garbled.affected(df).count() == 0
     one = spark.createDataFrame([(1, "é" * 60000), (2, "Ã©" * 20000)], "doc_id bigint, text string")
     assert {r.doc_id for r in garbled.affected(one).collect()} == {2}
+
+
+def test_lost_bytes_under_a_decoder_without_gaps():
+    signs = garbled.Signs({"😀": 40, "é": 100, "✓": 9, "€": 30})
+    assert garbled.wide_reading("ð\ufffd\ufffd\ufffd", "latin-1", signs) == "😀"
+    assert garbled.wide_reading("â\ufffd¬", "latin-1", signs) == "€"
+    assert garbled.Signs({}).fitting(0xF0, (tuple(range(0x80, 0xC0)),) * 3)[0][0] == "\U00010000"
+    assert garbled.Signs({}).fitting(0xF1, (tuple(range(0x80, 0xC0)),) * 3) == []
+
+
+def test_words_choose_between_paths(spark):
+    # by its signs alone the lost byte would be the frequent letter; the corpus has the word with the other
+    many = ["é à é ü é"] * 300 + ["Lösung der Lösung"] * 40 + ["gelöst"] * 30
+    bad = ["die L" + "Ã\ufffd" + "sung"]
+    df = spark.createDataFrame(list(enumerate(many + bad)), "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in garbled.affected(df, restore=True).collect()}
+    assert got == {len(many): "die Lösung"}
