@@ -122,7 +122,7 @@ def url_normal(c: Column) -> Column:
     x = F.regexp_replace(c, r"#.*$", "")
     x = F.regexp_replace(x, r"\?$", "")
     head = F.lower(F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*", 0))
-    rest = F.substring(x, F.length(head) + 1, 100_000)
+    rest = F.substring(x, F.length(head) + 1, F.length(x))
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://[^/]*?):80$", "$1"), r"^(https://[^/]*?):443$", "$1")
     return F.concat(head, F.regexp_replace(rest, r"/(\?|$)", "$1"))
 
@@ -151,7 +151,7 @@ def tags(c: Column) -> Column:
 
     def one(p: Column) -> Column:
         kind = F.regexp_extract(p, rf"^({kinds})", 1)
-        rest = F.trim(F.substring(p, F.length(kind) + 1, 100_000))
+        rest = F.trim(F.substring(p, F.length(kind) + 1, F.length(p)))
         ids = F.regexp_extract_all(F.regexp_extract(rest, r"^([^:]*)", 1), F.lit(r"[A-Z]+-?[a-z0-9]+"), F.lit(0))
         note = F.trim(F.regexp_extract(rest, r":\s*(.*)$", 1))
         return F.struct(kind.alias("kind"), ids.alias("ids"), F.when(note != "", note).alias("note"))

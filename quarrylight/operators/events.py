@@ -65,9 +65,9 @@ def moves(rows: DataFrame, key: str, state: str, order: str) -> DataFrame:
 
 
 def refused(rows: DataFrame, key: str, state: str, order: str, allowed: DataFrame) -> DataFrame:
-    """The rows whose move (before, state) is not among the allowed ones."""
+    """The rows whose move (before, state) is not among the allowed ones, however many are allowed."""
     w = W.partitionBy(key).orderBy(order)
-    return rows.withColumn("before", F.lag(state).over(w)).where("before is not null").join(F.broadcast(allowed.limit(10_000)), ["before", state], "left_anti")
+    return rows.withColumn("before", F.lag(state).over(w)).where("before is not null").join(allowed.select("before", state).distinct(), ["before", state], "left_anti")
 
 
 def held_seconds(rows: DataFrame, key: str, state: str, ts: str, order: str, which: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as X
+from quarrylight.session import materialise
 
 
 def tag_rows(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -122,15 +124,27 @@ def per_kind(rows: DataFrame, kind: str, key: str, n: int) -> DataFrame:
     return rows.withColumn("r", r).where(F.col("r") <= n).drop("r")
 
 
+def positions(rows: DataFrame, order: list, name: str = "pos") -> DataFrame:
+    """rows with their place from 1 in a total order, without one task for all: ranges, their sizes, ranks within them."""
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, 8)
+    cut = materialise(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
+    base = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return cut.withColumn("_own", own).join(F.broadcast(base.select("_part", "_base")), "_part").withColumn(name, (F.col("_base") + F.col("_own")).cast("bigint")).drop("_part", "_base", "_own")
+
+
 def rotated(rows: DataFrame, key: str, after) -> DataFrame:
     """rows with pos: the order of a scan that goes on after a key and comes round to it."""
-    return rows.withColumn("pos", F.row_number().over(W.orderBy(F.col(key) <= after, key)).cast("bigint"))
+    return positions(rows, [F.col(key) <= after, F.col(key)])
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row for each key, the first in order."""
-    r = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.where(F.col(key).isNotNull()).withColumn("_r", r).where("_r = 1").drop("_r")
+    """One row for each key, the first in order. An aggregate of constant state, so that a hot key is combined first."""
+    rest = [c for c in rows.columns if c not in (key, *order)]
+    # nulls come first, as in a window
+    first = F.min(F.struct(*[x for c in order for x in (F.col(c).isNotNull().alias(f"_{c}"), F.col(c))], *rest)).alias("r")
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, *[F.col(f"r.{c}").alias(c) for c in (*order, *rest)]).select(*rows.columns)
 
 
 def best_cut(rows: DataFrame, positive: Column, score: str, grid: list[float]) -> DataFrame:
@@ -149,35 +163,45 @@ def phrase_runs(lines: DataFrame) -> DataFrame:
     return island.groupBy(*key, "g").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max("n").alias("run"))
 
 
+#: Query vectors that a task holds at once, and the most bytes of them that are broadcast.
+BLOCK, QUERY_BYTES = 2_000, 200_000_000
+
+
 def neighbours(vectors: DataFrame, k: int, every: int = 20) -> DataFrame:
     """vec_id, neighbour, similarity, pos: for every id divisible by ``every`` its k nearest of all vectors by cosine.
 
-    The queries are a stated twentieth of the rows; they go to every task in blocks and each task keeps its k best.
+    The queries are a stated twentieth of the rows. They go to the tasks in parts: each part of at most QUERY_BYTES is
+    broadcast in a pass of its own over the vectors, each task keeps its k best. Null vectors are neither asked nor found.
     """
-    q = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
-    n = q.count()
-    if n > 1_000_000:
-        raise ValueError("more than a million query vectors; ask for them in parts")
-    rows = q.collect()
+    q = vectors.where((F.col("vec_id") % every == 0) & F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    size = q.agg(F.sum(F.size("embedding").cast("bigint") * 8 + 16).alias("bytes")).first()["bytes"] or 0
+    parts = max(1, -(-size // QUERY_BYTES))
+    found = [_near(vectors, q.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p), k) for p in range(parts)]
+    pos = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))
+    return reduce(DataFrame.unionByName, found).withColumn("pos", pos).where(F.col("pos") <= k)
+
+
+def _near(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.collect()  # at most QUERY_BYTES of vectors
     ids = np.array([r["vec_id"] for r in rows], np.int64)
     m = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, m = shared.value
+        all_ids, all_m = shared.value
         for b in batches:
-            if not b.num_rows or not len(ids):
+            if not b.num_rows or not len(all_ids):
                 continue
             own = b.column(0).to_numpy(zero_copy_only=False)
             v = np.array(b.column(1).to_pylist(), np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            sim = np.round(m @ v.T, 4)
-            sim[ids[:, None] == own[None, :]] = -9
-            order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
-            s = np.take_along_axis(sim, order, 1)
-            keep = s > -9
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep.ravel()]), pa.array(own[order][keep]), pa.array(s[keep])], names=["vec_id", "neighbour", "similarity"])
-
-    found = vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(near, "vec_id bigint, neighbour bigint, similarity double")
-    pos = F.row_number().over(W.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("pos", pos).where(F.col("pos") <= k)
+            for at in range(0, len(all_ids), BLOCK):
+                ids, m = all_ids[at : at + BLOCK], all_m[at : at + BLOCK]
+                sim = np.round(m @ v.T, 4)
+                sim[ids[:, None] == own[None, :]] = -9
+                order = np.lexsort((np.broadcast_to(own, sim.shape), -sim), axis=1)[:, :k]
+                s = np.take_along_axis(sim, order, 1)
+                keep = s > -9
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep.ravel()]), pa.array(own[order][keep]), pa.array(s[keep])], names=["vec_id", "neighbour", "similarity"])
+
+    return vectors.where("embedding is not null").select("vec_id", "embedding").mapInArrow(near, "vec_id bigint, neighbour bigint, similarity double")

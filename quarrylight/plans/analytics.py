@@ -89,13 +89,13 @@ def queries() -> dict:
         "half_split": lambda s, d: t(s, d, "documents").select("doc_id", (F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2), 16, 10).cast("int") % 2).cast("bigint").alias("half")),
         "per_kind_sample": lambda s, d: L.per_kind(t(s, d, "work_items").select("item_id", "kind").distinct(), "kind", "item_id", 5),
         "rotation_order": lambda s, d: L.rotated(t(s, d, "supplier").select("s_suppkey"), "s_suppkey", 40),
-        "first_wins": lambda s, d: L.first_wins(t(s, d, "kb_lines"), "body", ["path", "line_no", "added_on"]).select("body", "path", "line_no"),
+        "first_wins": lambda s, d: L.first_wins(t(s, d, "kb_lines").select("body", "path", "line_no", "added_on"), "body", ["path", "line_no", "added_on"]).select("body", "path", "line_no"),
         "best_cut": lambda s, d: L.best_cut(ev(s, d).where("value is not null"), F.col("event_type") == "purchase", "value", [float(x) for x in range(0, 200, 5)]),
         "confusion": lambda s, d: t(s, d, "run_entries").dropDuplicates(["entry_id"]).groupBy("intent", "verdict").agg(F.count("*").alias("entries")),
         "phrase_runs": lambda s, d: L.phrase_runs(t(s, d, "kb_lines")),
         # relational
         "pricing_summary": lambda s, d: t(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("lines")),
-        "nation_revenue": lambda s, d: t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t(s, d, "nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")),
+        "nation_revenue": lambda s, d: t(s, d, "lineitem").join(t(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")),
         "customers_without_orders": lambda s, d: t(s, d, "customer").join(t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name"),
         "as_of_order": lambda s, d: E.as_of(t(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("ts")), t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("ts"), F.col("o_orderstatus").alias("status")), ["l_orderkey"], "ts", ["status"]),
         "vector_neighbours": lambda s, d: L.neighbours(t(s, d, "embeddings"), 5),
