@@ -12,8 +12,17 @@ from pyspark.sql import types as T
 
 #: A word: letters, digits, marks and underscores, joined by dots or hyphens inside.
 WORD = r"[\p{L}\p{N}\p{M}_]+(?:[.\-][\p{L}\p{N}\p{M}_]+)*"
-#: English words that carry no meaning of their own.
-STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "has", "have", "how", "if", "in", "is", "it", "its", "me", "my", "not", "of", "off", "on", "or", "set", "since", "than", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with")
+#: English words that carry no meaning of their own, and words of a request.
+STOP = (
+    "a", "an", "the", "and", "or", "of", "for", "to", "in", "on", "with", "is", "are", "be", "can", "how", "what",
+    "which", "when", "where", "why", "does", "do", "it", "its", "by", "from", "as", "at", "we", "our", "should",
+    "about", "after", "all", "any", "also", "been", "but", "did", "has", "have", "into", "kb", "much",
+    "long", "more", "not", "only", "same", "than", "that", "their", "then", "there", "these", "they",
+    "this", "those", "was", "were", "will", "would", "you", "your", "who", "whom", "whose",
+    "doing", "get", "set", "use", "used", "using", "via", "per", "say", "says",
+    "answer", "answers", "cite", "citation", "citations", "please", "explain", "tell", "give",
+    "describe", "briefly", "safely", "help", "need", "want", "know",
+)
 #: Kinds of evidence tags.
 TAG_KINDS = ("DOC", "CODE", "DER", "COMMUNITY", "UNK", "DECISION", "LOG")
 
@@ -23,6 +32,28 @@ def words(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def raw_words(c: Column) -> Column:
+    """The words of a text as written, in order; an empty list for null."""
+    return F.coalesce(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def word_parts(w: Column) -> Column:
+    """array<struct<part, weight, whole>>: a word and what it is made of, each part once.
+
+    The word in lower case, without a v before a version; the pieces between its dots and hyphens; the dotted numbers
+    between its hyphens: weight 1. The pieces of a name in CamelCase or with underscores: weight .2.
+    """
+    low = F.lower(w)
+    t = F.when(low.rlike(r"^v\d+\.\d"), F.substring(low, 2, 1_000_000_000)).otherwise(low)
+    none = F.array().cast("array<string>")
+    pieces = F.when(t.rlike(r"[.\-]"), F.split(t, r"[.\-]")).otherwise(none)
+    dotted = F.when(t.contains("-"), F.filter(F.split(t, "-"), lambda x: x.rlike(r"^\d+(\.\d+)+$"))).otherwise(none)
+    camel = F.when(w.contains("_") | w.rlike("[a-z][A-Z]"), F.transform(F.split(F.regexp_replace(w, "([a-z0-9])([A-Z])", "$1_$2"), r"[_.\-]"), lambda x: F.lower(x))).otherwise(none)
+    full = F.array_distinct(F.concat(F.array(t), pieces, dotted))
+    more = F.array_except(F.array_distinct(camel), full)
+    return F.concat(F.transform(full, lambda x: F.struct(x.alias("part"), F.lit(1.0).alias("weight"), (x == t).alias("whole"))), F.transform(more, lambda x: F.struct(x.alias("part"), F.lit(0.2).alias("weight"), F.lit(False).alias("whole"))))
+
+
 def stem_steps(w: str) -> list[str]:
     """The steps of the English stem of a lower-case word named w, each an expression over the last one's result.
 

@@ -29,25 +29,59 @@ def stemmed(tokens: DataFrame, column: str = "word") -> DataFrame:
     return tokens.join(words.withColumn("term", X.stem(column)), column)
 
 
+def parts_of(words: DataFrame) -> DataFrame:
+    """words (a column word, as written) with term, weight, whole: the stems of each word's parts, each part once.
+
+    Parts and stems are made once for each distinct word; stop words and single letters are left out.
+    """
+    each = words.select("word").distinct().select("word", F.inline(X.word_parts(F.col("word"))))
+    each = each.where(~F.col("part").isin(*X.STOP) & (F.length("part") > 1))
+    return words.join(each.select("word", X.stem("part").alias("term"), "weight", "whole"), "word")
+
+
+#: Weight of a term that stands in the article's summary, and the sections that are summaries.
+SUMMARY_TERM = 0.1
+
+
 def unit_terms(units: DataFrame) -> DataFrame:
-    """unit_id, term, tf: weighted term counts; a word of the section's title counts too."""
-    words = units.select("unit_id", F.explode(X.words(F.concat_ws(" ", "section", "body"))).alias("word"))
-    return stemmed(words).groupBy("unit_id", "term").agg(F.count("*").alias("tf"))
+    """unit_id, term, tf, n, own: the terms of each unit.
+
+    A unit is indexed by its path, section and text; n counts a term in these. tf adds a tenth of the count in the
+    article's summary, unless the unit is of it. own: the term stands in the file's name, the section or the text, not
+    in a folder's name alone.
+    """
+    file = F.regexp_replace("path", r"\.[a-z]+$", "")
+    body = F.concat_ws(" ", F.regexp_extract(file, r"([^/]*)$", 1), "section", "body")
+    folders = F.regexp_replace(file, r"[^/]*$", "")
+    both = F.concat(F.transform(X.raw_words(body), lambda x: F.struct(x.alias("word"), F.lit(True).alias("own"))), F.transform(X.raw_words(folders), lambda x: F.struct(x.alias("word"), F.lit(False).alias("own"))))
+    words = units.select("unit_id", "path", F.col("section").startswith("Summary").alias("summary"), F.inline(both))
+    t = materialise(parts_of(words).groupBy("unit_id", "path", "summary", "term").agg(F.count("*").alias("n"), F.max("own").alias("own")), "terms")
+    said = parts_of(units.where(F.col("section").startswith("Summary")).select("path", F.explode(X.raw_words(F.col("body"))).alias("word"))).groupBy("path", "term").agg((F.count("*") * SUMMARY_TERM).alias("more"))
+    plus = units.where(~F.col("section").startswith("Summary")).select("unit_id", "path").join(said, "path").select("unit_id", "term", "more")
+    j = t.select("unit_id", "term", "n", "own").join(plus, ["unit_id", "term"], "full_outer")
+    return j.select("unit_id", "term", F.round(F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0.0)), 6).alias("tf"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("own", F.lit(False)).alias("own"))
 
 
 def postings(units: DataFrame) -> DataFrame:
-    """unit_id, term, tf, len, df, n, avg: all that ranking needs; write it bucketed by term to keep an index."""
-    t = unit_terms(units)
-    length = t.groupBy("unit_id").agg(F.sum("tf").alias("len"))
-    df = t.groupBy("term").agg(F.count("*").alias("df"))
+    """unit_id, term, tf, len, df, n, avg: all that ranking needs; write it bucketed by term to keep an index.
+
+    len counts all terms, unweighted; df the units that have a term of their own.
+    """
+    t = materialise(unit_terms(units), "unit-terms")
+    length = t.groupBy("unit_id").agg(F.sum("n").alias("len"))
+    df = t.where("own").groupBy("term").agg(F.count("*").alias("df"))
     stats = length.agg(F.avg("len").alias("avg")).crossJoin(units.agg(F.count("*").alias("n")))  # one row
-    return t.join(length, "unit_id").join(df, "term").crossJoin(F.broadcast(stats))
+    return t.select("unit_id", "term", "tf").join(length, "unit_id").join(df, "term").crossJoin(F.broadcast(stats))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
-    """qid, term: the distinct stems of each question (columns qid, question)."""
-    words = questions.select("qid", F.explode(X.words(F.col("question"))).alias("word"))
-    return stemmed(words).select("qid", "term").distinct()
+    """qid, term, weight, whole, named: the stems of each question (columns qid, question), at their greatest weight.
+
+    whole: the stem of a whole word, a key word; named: of a word with a capital or a digit in it.
+    """
+    words = questions.select("qid", F.explode(X.raw_words(F.col("question"))).alias("word"))
+    named = F.col("word").rlike(r"[\p{Lu}\p{N}]") & F.col("whole")
+    return parts_of(words).groupBy("qid", "term").agg(F.max("weight").alias("weight"), F.max("whole").alias("whole"), F.max(named).alias("named"))
 
 
 def rank(units: DataFrame, questions: DataFrame) -> DataFrame:
@@ -57,7 +91,7 @@ def rank(units: DataFrame, questions: DataFrame) -> DataFrame:
     boost = F.when(F.col("section").startswith("Summary"), SUMMARY_BOOST).otherwise(1.0) * F.when(F.col("tagged"), 1.0).otherwise(UNTAGGED)
     p = postings(units).select("unit_id", "term", part.alias("part")).join(units.select("unit_id", "path", boost.alias("boost")), "unit_id")
     p = materialise(p, "postings")
-    terms = question_terms(questions)
+    terms = question_terms(questions).select("qid", "term", "weight")
     if p.count() <= BROADCAST_ROWS:
         # questions are cut by qid once; neither the sums nor the windows over a question move a row again
         # (a stated number of parts, as few bytes of questions make many hits)
@@ -66,7 +100,7 @@ def rank(units: DataFrame, questions: DataFrame) -> DataFrame:
         hit = terms.repartition(parts, "qid").join(F.broadcast(p), "term")
     else:
         hit = terms.join(p, "term")
-    s = hit.groupBy("qid", "unit_id").agg(F.sum("part").alias("s"), F.count("*").alias("hits"), F.first("path").alias("path"), F.first("boost").alias("boost"))
+    s = hit.groupBy("qid", "unit_id").agg(F.sum(F.col("weight") * F.col("part")).alias("s"), F.count("*").alias("hits"), F.first("path").alias("path"), F.first("boost").alias("boost"))
     return s.select("qid", "unit_id", "path", F.round(F.col("s") * F.col("boost"), 6).alias("score"), "hits")
 
 
@@ -100,33 +134,44 @@ def fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def term_df(units: DataFrame) -> DataFrame:
-    """term, df, n: in how many units each term stands, of how many."""
-    return unit_terms(units).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(units.agg(F.count("*").alias("n"))))
+    """term, df, n: how many units have each term of their own, of how many."""
+    return unit_terms(units).where("own").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(units.agg(F.count("*").alias("n"))))
 
 
-def informative(units: DataFrame, questions: DataFrame) -> DataFrame:
-    """qid, term, df: the terms of each question that fewer than a fifth (at least 2) of the units hold; df 0: missing."""
+def informative(units: DataFrame, questions: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """qid, term, df, named: the key words of each question that fewer than a fifth (at least 2) of the units have; df 0: missing."""
     n = units.agg(F.count("*").alias("n"))
-    q = question_terms(questions).join(term_df(units).select("term", "df"), "term", "left").fillna({"df": 0}).crossJoin(F.broadcast(n))
-    return q.where(F.col("df") < F.greatest(0.2 * F.col("n"), F.lit(2.0))).select("qid", "term", "df")
+    df = (unit_terms(units) if terms is None else terms).where("own").groupBy("term").agg(F.count("*").alias("df"))
+    q = question_terms(questions).where("whole").join(df, "term", "left").fillna({"df": 0}).crossJoin(F.broadcast(n))
+    return q.where(F.col("df") < F.greatest(0.2 * F.col("n"), F.lit(2.0))).select("qid", "term", "df", "named")
 
 
 def verdicts(units: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFrame:
     """qid, verdict, share, asked, missing: how well the units cover each question.
 
-    Of the pool best units, the path whose units hold most informative terms gives the share. none: nothing found,
-    half of the terms unknown, or a share below .34; good: a share of .6 from tagged units (.8 where a term is
-    unknown); else weak. A question without informative terms is none.
+    Of the pool best units, the path whose units have most of the known informative words gives the share, the same over
+    tagged units the fact share. none: nothing found, a third of the named words unknown (but for a single name of three
+    letters at most with a share of .75), half of the words unknown, or a share below .34. good: a fact share of .6 (.8
+    where a word is unknown), no name unknown, every informative name in a tagged unit, and one tagged unit with all known
+    words. Else weak. A question without informative words is none.
     """
-    info = informative(units, questions)
-    asked = info.groupBy("qid").agg(F.count("*").alias("asked"), F.sum((F.col("df") == 0).cast("int")).alias("missing"))
+    terms = materialise(unit_terms(units), "unit-terms")
+    info = materialise(informative(units, questions, terms), "informative")
+    unknown = F.col("df") == 0
+    asked = info.groupBy("qid").agg(F.count("*").alias("asked"), F.count_if(unknown).alias("missing"), F.count_if("named").alias("names"), F.count_if(F.col("named") & unknown).alias("lost"), F.max(F.when(F.col("named"), F.length("term"))).alias("longest"))
     best = top(rank(units, questions), pool).select("qid", "unit_id", "path")
-    held = best.join(info.where("df > 0").select("qid", "term"), "qid").join(unit_terms(units).select("unit_id", "term"), ["unit_id", "term"]).join(units.select("unit_id", "tagged"), "unit_id")
+    held = materialise(best.join(info.where("df > 0").select("qid", "term", "named"), "qid").join(terms.where("own").select("unit_id", "term"), ["unit_id", "term"]).join(units.select("unit_id", "tagged"), "unit_id"), "held")
     per = held.groupBy("qid", "path").agg(F.countDistinct("term").alias("hit"), F.countDistinct(F.when(F.col("tagged"), F.col("term"))).alias("fact"))
     most = per.groupBy("qid").agg(F.max("hit").alias("hit"), F.max("fact").alias("fact"))
-    j = questions.select("qid").distinct().join(asked, "qid", "left").join(most, "qid", "left").fillna({"asked": 0, "missing": 0, "hit": 0, "fact": 0})
+    single = held.where("tagged").groupBy("qid", "unit_id").agg(F.countDistinct("term").alias("one")).groupBy("qid").agg(F.max("one").alias("one"))
+    told = held.where("tagged and named").groupBy("qid").agg(F.countDistinct("term").alias("told"))
+    zero = {c: 0 for c in ("asked", "missing", "names", "lost", "longest", "hit", "fact", "one", "told")}
+    j = questions.select("qid").distinct().join(asked, "qid", "left").join(most, "qid", "left").join(single, "qid", "left").join(told, "qid", "left").fillna(zero)
     share, fact = F.col("hit") / F.greatest("asked", F.lit(1)), F.col("fact") / F.greatest("asked", F.lit(1))
-    verdict = F.when((F.col("hit") == 0) | (F.col("missing") * 2 >= F.col("asked")) | (share < 0.34), "none").when(fact >= F.when(F.col("missing") > 0, 0.8).otherwise(0.6), "good").otherwise("weak")
+    lone = (F.col("names") == 1) & (F.col("longest") <= 3) & (share >= 0.75)
+    nothing = (F.col("hit") == 0) | ((F.col("lost") > 0) & (F.col("lost") * 3 >= F.col("names")) & ~lone) | (F.col("missing") * 2 >= F.col("asked")) | (share < 0.34)
+    good = (fact >= F.when(F.col("missing") > 0, 0.8).otherwise(0.6)) & (F.col("lost") == 0) & (F.col("told") == F.col("names")) & (F.col("one") == F.col("asked") - F.col("missing"))
+    verdict = F.when(nothing, "none").when(good, "good").otherwise("weak")
     return j.select("qid", verdict.alias("verdict"), F.round(share, 6).alias("share"), F.col("asked").cast("bigint").alias("asked"), F.col("missing").cast("bigint").alias("missing"))
 
 
@@ -136,22 +181,45 @@ def holders(units: DataFrame, variants: DataFrame) -> DataFrame:
     Relational division: a unit holds a variant when as many of its terms match as the variant has.
     """
     size = variants.groupBy("key", "variant").agg(F.countDistinct("term").alias("size"))
-    hit = variants.distinct().join(unit_terms(units).select("unit_id", "term"), "term").groupBy("key", "variant", "unit_id").agg(F.countDistinct("term").alias("hit"))
+    hit = variants.distinct().join(unit_terms(units).where("own").select("unit_id", "term"), "term").groupBy("key", "variant", "unit_id").agg(F.countDistinct("term").alias("hit"))
     return hit.join(size, ["key", "variant"]).where("hit = size").groupBy("key").agg(F.countDistinct("unit_id").alias("units"))
 
 
 def expand(questions: DataFrame, aliases: DataFrame, weight: float = 0.5) -> DataFrame:
-    """qid, term, weight: the words of aliases (term, canonical) whose term a question holds as whole words."""
-    padded = F.concat(F.lit(" "), F.array_join(X.words(F.col("question")), " "), F.lit(" "))
-    a = F.broadcast(aliases.select(F.concat(F.lit(" "), F.array_join(X.words(F.col("term")), " "), F.lit(" ")).alias("alias"), X.words(F.col("canonical")).alias("cw")))  # checked by the caller
-    hit = questions.withColumn("padded", padded).join(a, F.col("padded").contains(F.col("alias")))
+    """qid, term, weight: the words of aliases (term, canonical) whose term a question holds as whole words.
+
+    Questions and aliases are joined by the alias's first word, and by its place the rest is compared.
+    """
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(X.words(c), " "), F.lit(" "))
+    a = aliases.select(padded(F.col("term")).alias("alias"), F.try_element_at(X.words(F.col("term")), F.lit(1)).alias("w"), X.words(F.col("canonical")).alias("cw")).where("w is not null")
+    q = questions.select("qid", padded(F.col("question")).alias("padded"), F.explode(F.array_distinct(X.words(F.col("question")))).alias("w"))
+    hit = q.join(a, "w").where(F.col("padded").contains(F.col("alias")))
     return hit.select("qid", F.explode("cw").alias("word"), (F.lit(weight) / F.size("cw")).alias("weight")).withColumn("term", X.stem("word")).groupBy("qid", "term").agg(F.max("weight").alias("weight"))
 
 
 def take_within(ranked: DataFrame, cost: str, budget: int) -> DataFrame:
-    """The best units of each question whose running cost stays within a budget; the first that does not ends it."""
-    run = F.sum(cost).over(W.partitionBy("qid").orderBy(*_best()).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return ranked.withColumn("spent", run).where(F.col("spent") <= budget)
+    """qid, unit_id, score, cost, spent: the lines of each question within a budget, by path as they stand.
+
+    Paths go by their best unit; the first line that goes over what is left ends its own path only. Sequential by its
+    nature, over the few candidates of a question (a pool).
+    """
+    import pandas as pd
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["score", "unit_id"], ascending=[False, True])
+        first = {p: i for i, p in reversed(list(enumerate(g["path"])))}
+        spent, rows, shut = 0, [], set()
+        for r in sorted(g.itertuples(index=False), key=lambda r: first[r.path]):
+            if r.path in shut:
+                continue
+            if spent + r.cost > budget:
+                shut.add(r.path)
+                continue
+            spent += r.cost
+            rows.append((r.qid, r.unit_id, r.score, r.cost, spent))
+        return pd.DataFrame(rows, columns=["qid", "unit_id", "score", "cost", "spent"])
+
+    return ranked.select("qid", "unit_id", "path", "score", F.coalesce(F.col(cost), F.lit(0)).cast("bigint").alias("cost")).groupBy("qid").applyInPandas(one, "qid string, unit_id string, score double, cost bigint, spent bigint")
 
 
 def registered(rankers: dict, name: str, candidates: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def queries() -> dict:
         "line_history": lambda s, d: C.history(lines(s, d)),
         "moved_lines": lambda s, d: C.moved_lines(lines(s, d)),
         "index_refresh": lambda s, d: C.refresh(lines(s, d), "2025-06-30", "2025-12-31"),
-        "postings_arrays": lambda s, d: C.postings_arrays(S.unit_terms(units(s, d))),
+        "postings_arrays": lambda s, d: C.postings_arrays(S.unit_terms(units(s, d)).where("n > 0").select("unit_id", "term", F.col("n").alias("tf"))),
         "facts_by_root": lambda s, d: lines(s, d).where("path is not null").groupBy(C.root_of(F.col("path")).alias("root"), "tag").agg(F.count("*").alias("facts"), F.count_if(F.col("removed_on").isNull()).alias("open")),
         "facts_by_prefix": lambda s, d: lines(s, d).where("path like 'public/devices/%' and tag in ('DOC', 'CODE')").select("path", "line_no", "added_on", "tag", "body"),
         "line_range": lambda s, d: lines(s, d).where(F.col("line_no").between(10, 20)).select("path", "line_no", "added_on", "body"),
@@ -118,7 +118,7 @@ left join (select path, count(*) as conflicts from (select path, body from kb_li
         "line_history": "select path, line_no, count(*) as versions, count(distinct body) as texts, min(added_on) as first, max(added_on) as last, bool_or(removed_on is null) as open from kb_lines where path is not null and line_no is not null group by 1, 2",
         "moved_lines": r"with k as (select substr(sha256(trim(regexp_replace(body, '\s+', ' ', 'g'))), 1, 12) as fact_key, path, path || ':' || line_no as line, added_on, removed_on from kb_lines where path is not null and body is not null) select a.fact_key, a.line as old_line, arg_min(b.line, (b.added_on, b.line)) as new_line from k a join k b on a.fact_key = b.fact_key and a.path <> b.path and b.added_on >= a.removed_on group by 1, 2",
         "index_refresh": f"select coalesce(a.path, b.path) as path, case when a.fp is null then 'add' when b.fp is null then 'drop' when a.fp = b.fp then 'keep' else 'rebuild' end as todo from {_FP.format(d='2025-06-30')} a full outer join {_FP.format(d='2025-12-31')} b on a.path = b.path",
-        "postings_arrays": _base() + "select term, string_agg(unit_id, ';' order by unit_id) as units, string_agg(cast(tf as varchar), ';' order by unit_id) as tfs from t group by 1",
+        "postings_arrays": _base() + "select term, string_agg(unit_id, ';' order by unit_id) as units, string_agg(cast(n as varchar), ';' order by unit_id) as tfs from wt where n > 0 group by 1",
         "facts_by_root": "select split_part(path, '/', 1) as root, tag, count(*) as facts, count(*) filter (where removed_on is null) as open from kb_lines where path is not null group by 1, 2",
         "facts_by_prefix": "select path, line_no, added_on, tag, body from kb_lines where path like 'public/devices/%' and tag in ('DOC', 'CODE')",
         "line_range": "select path, line_no, added_on, body from kb_lines where line_no between 10 and 20",
