@@ -19,8 +19,8 @@ def markdown_units(docs: DataFrame) -> DataFrame:
     """path, line, section, text, tags, code: the units of Markdown texts (columns path, content).
 
     The body begins after the header between --- lines. A heading sets the section; a bullet or a table row begins a
-    unit; a fenced block is one unit; a blank line ends a unit; other lines go on with it or begin a paragraph. Rows
-    that separate a table's header are left out. Every text is cut at its own lines; a unit is put together from them
+    unit; the lines inside a closed fence are one unit; a blank line ends a unit; other lines go on with it or begin a
+    paragraph. A table's separator row, and the header row above it where it has no tag, are left out. Every text is cut at its own lines; a unit is put together from them
     by running counts, so no text is read as one piece of state in Python.
     """
     body = F.regexp_replace("content", r"\r\n?", "\n")
@@ -33,18 +33,22 @@ def markdown_units(docs: DataFrame) -> DataFrame:
     fence = F.col("raw").rlike(r"^\s*(?:```|~~~)").cast("int")
     lines = lines.withColumn("fence", fence).withColumn("fences", F.coalesce(F.sum("fence").over(before), F.lit(0)))
     inside = (F.col("fences") % 2 == 1) | (F.col("fence") == 1)
-    heading = ~inside & F.col("raw").rlike(r"^#{1,6}\s")
+    heading = ~inside & F.col("raw").startswith("#")
     blank = ~inside & (F.trim("raw") == "")
     row = ~inside & F.col("raw").rlike(r"^\s*\|")
-    bullet = ~inside & F.col("raw").rlike(r"^\s*[-*+]\s")
+    bullet = ~inside & F.col("raw").rlike(r"^\s*[-*] ")
     lines = lines.withColumn("code", inside).withColumn("heading", heading).withColumn("blank", blank).withColumn("row", row)
     ended = F.coalesce(F.lag(F.col("heading") | F.col("blank") | F.col("row") | ((F.col("fence") == 1) & (F.col("fences") % 2 == 1))).over(w), F.lit(True))
     opens = bullet | row | ((F.col("fence") == 1) & (F.col("fences") % 2 == 0)) | (~inside & ended)
     lines = lines.withColumn("section", F.last(F.when(F.col("heading"), F.trim(F.regexp_replace("raw", r"^#+\s*", ""))), ignorenulls=True).over(upto)).withColumn("unit", F.sum(opens.cast("int")).over(upto))
-    kept = lines.where(~F.col("heading") & ~F.col("blank") & ~F.col("raw").rlike(r"^\s*\|?[\s:|\-]+\|[\s:|\-]*$"))
+    separator = lambda c: F.coalesce(c, F.lit("")).rlike(r"^\s*\|[\s:|\-]+\|?\s*$")
+    lines = lines.withColumn("all_fences", F.sum("fence").over(W.partitionBy("path"))).withColumn("next", F.lead("raw").over(w))
+    header = F.col("row") & separator(F.col("next")) & (F.size(X.tags(F.col("raw"))) == 0)
+    unclosed = F.col("code") & (F.col("all_fences") % 2 == 1) & (F.col("fences") == F.col("all_fences"))
+    kept = lines.where(~F.col("heading") & ~F.col("blank") & ~(F.col("row") & separator(F.col("raw"))) & ~header & (F.col("fence") == 0) & ~unclosed)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: F.trim(x["raw"])), " ")
     g = kept.groupBy("path", "unit").agg((F.min("pos") + 1).alias("line"), F.first("section").alias("section"), F.max("code").alias("code"), joined.alias("text"))
-    return g.select("path", "line", "section", F.trim(F.regexp_replace("text", r"^[-*+]\s+", "")).alias("text"), X.tags(F.col("text")).alias("tags"), "code").where("text != ''")
+    return g.select("path", "line", "section", F.trim(F.when(F.col("code"), F.col("text")).otherwise(F.regexp_replace("text", r"^[-*] +", ""))).alias("text"), X.tags(F.col("text")).alias("tags"), "code").where("text != ''")
 
 
 def csv_units(rows: DataFrame, key: str) -> DataFrame:
