@@ -54,20 +54,20 @@ def unit_terms(units: DataFrame) -> DataFrame:
     body = F.concat_ws(" ", F.regexp_extract(file, r"([^/]*)$", 1), "section", "body")
     folders = F.regexp_replace(file, r"[^/]*$", "")
     both = F.concat(F.transform(X.raw_words(body), lambda x: F.struct(x.alias("word"), F.lit(True).alias("own"))), F.transform(X.raw_words(folders), lambda x: F.struct(x.alias("word"), F.lit(False).alias("own"))))
-    words = units.select("unit_id", "path", F.col("section").startswith("Summary").alias("summary"), F.inline(both))
-    t = materialise(parts_of(words).groupBy("unit_id", "path", "summary", "term").agg(F.count("*").alias("n"), F.max("own").alias("own")), "terms")
+    words = units.select("unit_id", F.inline(both))
+    t = parts_of(words).groupBy("unit_id", "term").agg(F.count("*").alias("n"), F.max("own").alias("own"))
     said = parts_of(units.where(F.col("section").startswith("Summary")).select("path", F.explode(X.raw_words(F.col("body"))).alias("word"))).groupBy("path", "term").agg((F.count("*") * SUMMARY_TERM).alias("more"))
     plus = units.where(~F.col("section").startswith("Summary")).select("unit_id", "path").join(said, "path").select("unit_id", "term", "more")
-    j = t.select("unit_id", "term", "n", "own").join(plus, ["unit_id", "term"], "full_outer")
+    j = t.join(plus, ["unit_id", "term"], "full_outer")
     return j.select("unit_id", "term", F.round(F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0.0)), 6).alias("tf"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce("own", F.lit(False)).alias("own"))
 
 
-def postings(units: DataFrame) -> DataFrame:
+def postings(units: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """unit_id, term, tf, len, df, n, avg: all that ranking needs; write it bucketed by term to keep an index.
 
     len counts all terms, unweighted; df the units that have a term of their own.
     """
-    t = materialise(unit_terms(units), "unit-terms")
+    t = materialise(unit_terms(units), "unit-terms") if terms is None else terms
     length = t.groupBy("unit_id").agg(F.sum("n").alias("len"))
     df = t.where("own").groupBy("term").agg(F.count("*").alias("df"))
     stats = length.agg(F.avg("len").alias("avg")).crossJoin(units.agg(F.count("*").alias("n")))  # one row
@@ -84,12 +84,12 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return parts_of(words).groupBy("qid", "term").agg(F.max("weight").alias("weight"), F.max("whole").alias("whole"), F.max(named).alias("named"))
 
 
-def rank(units: DataFrame, questions: DataFrame) -> DataFrame:
-    """qid, unit_id, path, score, hits of every unit that shares a term with a question."""
+def rank(units: DataFrame, questions: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """qid, unit_id, path, score, hits of every unit that shares a term with a question; terms: unit_terms, if at hand."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     boost = F.when(F.col("section").startswith("Summary"), SUMMARY_BOOST).otherwise(1.0) * F.when(F.col("tagged"), 1.0).otherwise(UNTAGGED)
-    p = postings(units).select("unit_id", "term", part.alias("part")).join(units.select("unit_id", "path", boost.alias("boost")), "unit_id")
+    p = postings(units, terms).select("unit_id", "term", part.alias("part")).join(units.select("unit_id", "path", boost.alias("boost")), "unit_id")
     p = materialise(p, "postings")
     terms = question_terms(questions).select("qid", "term", "weight")
     if p.count() <= BROADCAST_ROWS:
@@ -159,7 +159,7 @@ def verdicts(units: DataFrame, questions: DataFrame, pool: int = POOL) -> DataFr
     info = materialise(informative(units, questions, terms), "informative")
     unknown = F.col("df") == 0
     asked = info.groupBy("qid").agg(F.count("*").alias("asked"), F.count_if(unknown).alias("missing"), F.count_if("named").alias("names"), F.count_if(F.col("named") & unknown).alias("lost"), F.max(F.when(F.col("named"), F.length("term"))).alias("longest"))
-    best = top(rank(units, questions), pool).select("qid", "unit_id", "path")
+    best = top(rank(units, questions, terms), pool).select("qid", "unit_id", "path")
     held = materialise(best.join(info.where("df > 0").select("qid", "term", "named"), "qid").join(terms.where("own").select("unit_id", "term"), ["unit_id", "term"]).join(units.select("unit_id", "tagged"), "unit_id"), "held")
     per = held.groupBy("qid", "path").agg(F.countDistinct("term").alias("hit"), F.countDistinct(F.when(F.col("tagged"), F.col("term"))).alias("fact"))
     most = per.groupBy("qid").agg(F.max("hit").alias("hit"), F.max("fact").alias("fact"))
