@@ -147,6 +147,11 @@ def oracle_sql() -> dict[str, str]:
         "latest_state": f"select item, arg_max(state, seq) as state, count(*) as moves from {_C} where item is not null and state is not null group by 1",
         "state_moves": f"select before, state, count(*) as moves from (select item, state, lag(state) over (partition by item order by seq) as before from {_C} where item is not null and state is not null) group by 1, 2",
         "blocked_seconds": f"select item as key, cast(sum(date_diff('second', at_ts, nxt)) as bigint) as seconds, count(*) as times from (select item, state, date_trunc('second', at_ts) as at_ts, date_trunc('second', lead(at_ts) over (partition by item order by seq)) as nxt from {_C} where item is not null and state is not null) where state = 'returned' and nxt is not null group by 1",
+        "lease_fold": f"with l as (select * from {_C} where key is not null), b as (select key, arg_max(struct_pack(k := kind, h := holder, a := at_ts), seq) as e from l where kind in ('claim', 'release') group by 1) select key, e.h as holder, e.a as since, e.a + interval 7 days as lapses from b where e.k = 'claim' and e.a + interval 7 days > (select max(at_ts) from l)",
+        "change_interval": """with o as (select store, run, max(case when json_valid(header) and json_type(header) = 'OBJECT' then coalesce(header ->> '$.kb_commit', header ->> '$.kbCommit', header ->> '$.commit', header ->> '$.kb_sha') end) as c from run_headers where store is not null and run is not null group by 1, 2),
+m as (select store, try_strptime(substr(run, 1, 15), '%Y%m%dT%H%M%S') as at_, case when lag(c) over (partition by store order by run) is null then null when c <> lag(c) over (partition by store order by run) then 1 else 0 end as moved from o where c is not null),
+g as (select store, count(*) as checks, coalesce(cast(sum(moved) as bigint), 0) as changes, date_diff('second', min(at_), max(at_)) / 86400.0::double as days from m group by 1)
+select store, checks, changes, case when checks >= 2 and changes >= 2 then round((days / (checks - 1)) / -ln((checks - 1 - least(changes, checks - 1) + 0.5::double) / (checks - 1 + 0.5::double)), 6) end as mean_days from g""",
         "type_runs": "with c as (select *, case when event_type is distinct from lag(event_type) over (partition by user_id order by ts, event_id) then 1 else 0 end as fresh from events), r as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from c) select user_id, cast(run as bigint) as run, any_value(event_type) as event_type, count(*) as length from r group by 1, 2",
         "request_growth": "select user_id, round(sum(case when nxt >= value then nxt - value else 0 end), 6) as growth, count(case when nxt >= value then 1 end) as steps from (select user_id, value, lead(value) over (partition by user_id order by ts, event_id) as nxt from events) group by 1",
         "weekly_digest": "select cast(isoyear(ts) as varchar) || '-W' || lpad(cast(week(ts) as varchar), 2, '0') as week, event_type, count(*) as events, count(*) filter (where value > 100) as large, quantile_disc(value, 0.5) as median from events group by 1, 2",

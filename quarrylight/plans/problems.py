@@ -73,6 +73,10 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _DANGLING + "select src_table, src_id, ref_id, period from found",
         "p2_counts": _SNAPSHOTS,
         "p3_found": _CLOSURE + "select link, u as item_id, v as reached_id from r",
+        "p3_tree": _CLOSURE + """, pr as (select u, v from r where link = 'parent'), circ as (select distinct u from pr where u = v), tied as (select distinct u from pr where v in (select u from circ) union select u from circ),
+d as (select w.v as item, (select count(*) from pr where pr.u = w.v) as depth, (select count(*) from pr where pr.v = w.v and pr.u <> w.v) as descendants from w),
+up as (select pr.u, string_agg(pr.v, '/' order by d.depth) as above, arg_min(pr.v, d.depth) as root from pr join d on d.item = pr.v where pr.u not in (select u from tied) group by 1)
+select item as item_id, case when item in (select u from tied) then null else coalesce(up.root, item) end as root_id, case when item in (select u from tied) then null else cast(depth as int) end as depth, case when item in (select u from tied) then null else concat_ws('/', up.above, item) end as path, descendants, case when item in (select u from circ) then 'circle' when item in (select u from tied) then 'below circle' else 'tree' end as state from d left join up on up.u = d.item""",
         "dependency_causes": _CLOSURE + """, c as (select w.v as item_id from work_items i join w on w.k = lower(trim(i.item_id)) where i.status in ('draft', 'dropped') group by 1),
 b as (select distinct r.u as item_id, r.v as cause from r join c on c.item_id = r.v where link = 'depends_on')
 select item_id, count(*) as causes, min(cause) as first_cause from b group by 1""",
