@@ -147,6 +147,9 @@ def oracle_sql() -> dict[str, str]:
         "latest_state": f"select item, arg_max(state, seq) as state, count(*) as moves from {_C} where item is not null and state is not null group by 1",
         "state_moves": f"select before, state, count(*) as moves from (select item, state, lag(state) over (partition by item order by seq) as before from {_C} where item is not null and state is not null) group by 1, 2",
         "blocked_seconds": f"select item as key, cast(sum(date_diff('second', at_ts, nxt)) as bigint) as seconds, count(*) as times from (select item, state, date_trunc('second', at_ts) as at_ts, date_trunc('second', lead(at_ts) over (partition by item order by seq)) as nxt from {_C} where item is not null and state is not null) where state = 'returned' and nxt is not null group by 1",
+        "entropy_lines": "select path, line_no, added_on, case when body is not null then round(coalesce(list_aggregate(list_transform(list_distinct(ch), lambda c: -(len(list_filter(ch, lambda y: y = c))::double / len(ch)) * log2(len(list_filter(ch, lambda y: y = c))::double / len(ch))), 'sum'), 0.0) + 0.0, 6) end as entropy from (select *, regexp_extract_all(body, '(?s).') as ch from kb_lines)",
+        "version_maximum": r"select product, arg_max(version, (list_transform(string_split(version, '.'), lambda x: x::int), version)) as version from (select distinct lower(regexp_extract(question, '(?i)why does (\w+) ignore', 1)) as product, regexp_extract(question, '(?i)on build (\d+(?:\.\d+)+)', 1) as version from run_entries) where product <> '' and version <> '' group by 1",
+        "url_normalize": r"select regexp_replace(regexp_replace(head, '^(http://[^/]*?):80$', '\1'), '^(https://[^/]*?):443$', '\1') || regexp_replace(substr(x, length(head) + 1), '/(\?|$)', '\1', 'g') as url, count(*) as lines from (select x, lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*')) as head from (select regexp_replace(regexp_replace('HTTPS://Docs.Example:443/' || path || '/?#l' || line_no, '#.*$', ''), '\?$', '') as x from kb_lines)) group by 1",
         "lease_fold": f"with l as (select * from {_C} where key is not null), b as (select key, arg_max(struct_pack(k := kind, h := holder, a := at_ts), seq) as e from l where kind in ('claim', 'release') group by 1) select key, e.h as holder, e.a as since, e.a + interval 7 days as lapses from b where e.k = 'claim' and e.a + interval 7 days > (select max(at_ts) from l)",
         "change_interval": """with o as (select store, run, max(case when json_valid(header) and json_type(header) = 'OBJECT' then coalesce(header ->> '$.kb_commit', header ->> '$.kbCommit', header ->> '$.commit', header ->> '$.kb_sha') end) as c from run_headers where store is not null and run is not null group by 1, 2),
 m as (select store, try_strptime(substr(run, 1, 15), '%Y%m%dT%H%M%S') as at_, case when lag(c) over (partition by store order by run) is null then null when c <> lag(c) over (partition by store order by run) then 1 else 0 end as moved from o where c is not null),
