@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,33 +11,67 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as X
 from quarrylight.session import materialise
 
-#: Least share of a text's words that another has, and least number of them, to be like it.
+#: Least share of a text's words that another has, rounded to two places, and least number of them, to be like it.
 SIMILAR, WORDS = 0.6, 2
+#: Words, of those that other texts have too, up to which a text is counted by its subsets; one of more is paired.
+SUBSETS = 8
+#: Texts whose subsets one task makes.
+TEXTS = 20_000
 
 
 def similar(texts: DataFrame, key: str, column: str) -> DataFrame:
     """key, class_id, likes, first: how many other distinct texts hold SIMILAR of a text's words, and the first of them.
 
     Words are lower-case runs of letters and digits, of two at least, no stop words; a text is its set of words, and equal
-    sets are one class, named by its least key, which is compared once. Exact by a prefix filter: a text that shares
-    ceil(.6 n) of n words with another has one of its n - ceil(.6 n) + 1 rarest words in it, so only these are looked up,
-    and among a word's holders the pairs are made by the join on the word; hot words are the last to be looked up.
+    sets are one class, named by its least key, which is compared once. Likes grow as the square of the texts, so they are
+    counted and not listed: a class counts as a holder of each subset of its words, and the number of those that share k
+    words or more with a class is, by inclusion and exclusion, the sum over its subsets of j >= k words of their holders
+    times (-1)^(j - k) (j - 1 over k - 1). The first is the least holder of any of these subsets, if that is not the class
+    itself. Classes of many words, and those that come before all that are like them, are compared by ``paired``.
     """
     w = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(column), F.lit("[a-z0-9]+"), F.lit(0)), lambda x: (F.length(x) > 1) & ~x.isin(*X.STOP))))
     sets = texts.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).alias("key"), w.alias("ws"))
     sets = materialise(sets, "word-sets")
-    classes = materialise(sets.where("size(ws) > 0").groupBy("ws").agg(F.min("key").alias("class_id")), "classes")
-    df = classes.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    long = materialise(classes.select("class_id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(df, "w"), "class-words")
-    need = F.greatest(F.ceil(F.lit(SIMILAR) * F.col("n") - 1e-9), F.lit(WORDS)).cast("int")
-    place = F.row_number().over(W.partitionBy("class_id").orderBy("df", "w"))  # as many rows as a text has words
-    probe = long.withColumn("r", place).where(F.col("r") <= F.col("n") - need + 1).select("class_id", "n", "w")
-    hit = probe.join(long.select("w", F.col("class_id").alias("other")), "w").where("class_id != other").select("class_id", "other").distinct()
-    both = hit.join(long.select("class_id", "n", "w"), "class_id").join(long.select(F.col("class_id").alias("other"), "w"), ["other", "w"])
-    pairs = both.groupBy("class_id", "other").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where((F.round(F.col("shared") / F.col("n"), 2) >= SIMILAR) & (F.col("shared") >= WORDS))
-    likes = pairs.groupBy("class_id").agg(F.count("*").alias("likes"), F.min("other").alias("first"))
-    member = sets.join(classes, "ws", "left").select("key", "class_id")
-    return member.join(likes, "class_id", "left").select("key", "class_id", F.coalesce("likes", F.lit(0)).cast("bigint").alias("likes"), "first")
+    # classes are numbered in the order of their names, words in that of their frequency; a word of one class is shared by none
+    classes = sets.where("size(ws) > 0").groupBy("ws").agg(F.min("key").alias("class_id")).orderBy("class_id")
+    classes = materialise(classes.select("ws", "class_id", F.monotonically_increasing_id().alias("id")), "classes")
+    words = classes.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df")).where("df > 1").orderBy("df", "w")
+    words = materialise(words.select("w", F.monotonically_increasing_id().alias("i")), "words")
+    need = F.greatest(F.expr(f"({round(1000 * SIMILAR) - 5} * n + 999) div 1000"), F.lit(WORDS)).cast("int")
+    coded = classes.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(words, "w").groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("i")).alias("e"))
+    coded = materialise(coded.select("id", need.alias("need"), "e").where("size(e) >= 2"), "class-words")
+    few = coded.where(F.size("e") <= SUBSETS)
+    short = few.repartitionByRange(few.count() // TEXTS + 1, F.reverse("e"))  # like ones together, so that they combine
+    subset = lambda least: F.explode(F.expr(f"transform(filter(sequence(1, shiftleft(1, size(e)) - 1), k -> bit_count(k) >= {least}), k -> filter(e, (x, i) -> (k & shiftleft(1, i)) != 0))")).alias("part")
+    held = short.select("id", subset(WORDS)).groupBy("part").agg(F.count("*").alias("holders"), F.min("id").alias("first")).where("holders > 1")
+    over = F.array(*[F.lit((-1) ** (j - k) * comb(j - 1, k - 1) if 1 <= k <= j else 0) for j in range(SUBSETS + 1) for k in range(SUBSETS + 1)])
+    term = F.get(over, F.size("part") * (SUBSETS + 1) + F.col("need")) * (F.col("holders") - 1)
+    counted = few.repartition(few.count() // TEXTS + 1).select("id", "need", subset("need")).join(held, "part").groupBy("id").agg(F.sum(term).alias("likes"), F.min("first").alias("first"))
+    counted = materialise(counted, "counted")
+    before = counted.where("first = id").select("id")
+    more = coded.where(F.size("e") > SUBSETS)
+    alone = more.unionByName(few.join(before, "id", "left_semi"))
+    likes = counted.where("first < id").unionByName(paired(alone, coded))
+    if not more.isEmpty():
+        likes = likes.unionByName(paired(few.join(before, "id", "left_anti"), more))
+    likes = likes.groupBy("id").agg(F.sum("likes").alias("likes"), F.min("first").alias("first"))
+    names = classes.select(F.col("id").alias("first"), F.col("class_id").alias("name"))
+    likes = likes.join(names, "first").select("id", "likes", F.col("name").alias("first"))
+    member = sets.join(classes, "ws", "left").select("key", "class_id", "id")
+    return member.join(likes, "id", "left").select("key", "class_id", F.coalesce("likes", F.lit(0)).cast("bigint").alias("likes"), "first")
+
+
+def paired(some: DataFrame, all_: DataFrame) -> DataFrame:
+    """id, likes, first: of the sets of all_ (id, need, e) how many others hold ``need`` of the words e of one of some, and the first.
+
+    By a prefix filter: who shares ``need`` of n words has one of the n - need + 1 rarest, so only these are looked up. A
+    pair is compared as it comes by, at the first word that both have, and only its count is kept.
+    """
+    probe = some.where("size(e) >= need").select("id", "need", "e", F.explode(F.expr("slice(e, 1, size(e) - need + 1)")).alias("w"))
+    have = all_.select(F.col("id").alias("other"), F.col("e").alias("of"), F.explode("e").alias("w"))
+    both = F.array_intersect("e", "of")  # in the order of e
+    hit = probe.join(have, "w").where("id != other").withColumn("both", both).where((F.size("both") >= F.col("need")) & (F.get("both", F.lit(0)) == F.col("w")))
+    return hit.groupBy("id").agg(F.count("*").alias("likes"), F.min("other").alias("first"))
 
 
 def work_order(items: DataFrame) -> DataFrame:

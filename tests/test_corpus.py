@@ -76,6 +76,45 @@ def test_similar_texts_against_all_pairs(spark):
         assert got[f"{i:02d}"] == ((least[w] if w else None), likes)
 
 
+def test_similar_texts_of_all_lengths(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    vocab = [f"w{i:02d}" for i in range(60)]
+    texts = [" ".join(rng.sample(vocab[: rng.choice((8, 12, 60))], rng.randint(1, 7))) for _ in range(120)]
+    texts += [" ".join(rng.sample(vocab, rng.randint(9, 55))) for _ in range(40)]
+    # 28 of 47 words are .60 when rounded; they are the frequent ones, so that the rare ones don't lead there
+    texts += [" ".join(vocab[:28] + [f"only{i}" for i in range(19)]), " ".join(vocab[:28])] + [" ".join(vocab[:28:2] + [f"only{i}"]) for i in range(19)]
+    df = spark.createDataFrame([(f"{i:03d}", t) for i, t in enumerate(texts)], "key string, t string")
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(frozenset(t.split()), f"{i:03d}")
+    like = {w: sorted(k for o, k in least.items() if o != w and len(w & o) >= 2 and round(len(w & o) / len(w), 2) >= 0.6) for w in least}
+    want = {f"{i:03d}": (len(x := like[frozenset(t.split())]), x[0] if x else None) for i, t in enumerate(texts)}
+    for most in (8, 1):
+        monkeypatch.setattr(sets, "SUBSETS", most)
+        assert {r.key: (r.likes, r.first) for r in sets.similar(df, "key", "t").collect()} == want, most
+
+
+def test_similar_texts_are_not_listed_in_pairs(spark, request):
+    n = 900  # all alike: 809,100 pairs
+    df = spark.range(n).select(F.format_string("%04d", "id").alias("key"), F.format_string("report check add side%02d%02d", (F.col("id") / 30).cast("int"), F.col("id") % 30).alias("t"))
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    was = written()
+    rows = sets.similar(df, "key", "t").collect()
+    assert {(r.likes, r.first) for r in rows} == {(n - 1, "0000"), (n - 1, "0001")}
+    now = written()
+    assert n < now - was < 60 * n
+
+
 def test_places_refusals_and_first(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("id"))
     assert all(r.pos == (r.id - 41) % 1000 + 1 for r in L.rotated(df, "id", 40).collect())
